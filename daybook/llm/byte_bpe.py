@@ -236,7 +236,7 @@ class ByteBpe:
     """merge: how a slice that isn't in the cache is merged; all of a batch together, pair by pair, unless given.
     cache: most slices to keep."""
 
-    def __init__(self, ranks: dict[bytes, int], merge: Callable[[bytes], Iterable[int]] | None = None, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], merge: Callable[[bytes], Iterable[int]] | None = None, cache: int = 200_000):
         self.merge, self.most, self.known, self.ranks = merge, cache, {}, ranks
         size = max(ranks.values()) + 1
         self.lengths = np.zeros(size, np.int64)

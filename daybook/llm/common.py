@@ -12,8 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that go to a Python worker at once: a batch and what is made of it stay small beside an executor's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in this session; texts make the usual 10,000 rows far too large."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(key, str(most))
+
+
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, under fixed names: extra columns can't clash with what it adds."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from daybook.llm.common import small_batches
+
 #: Below this size products and sums of whole numbers are exact in doubles.
 EXACT = float(1 << 53)
 
@@ -127,6 +129,7 @@ def _blocks(vectors: DataFrame, size: int, scale: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding", query_block: int = 256, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows of highest inner product, itself left out."""
+    small_batches(vectors.sparkSession)
     v = F.col(f"`{vector}`").cast(T.ArrayType(T.DoubleType()))
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), v.alias("vector"), is_query.alias("is_query"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

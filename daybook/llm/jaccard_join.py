@@ -20,7 +20,6 @@ whole; an empty table gives an empty one; other columns are left out.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.byte_bpe import packed
-from daybook.llm.common import id_and_text, written
+from daybook.llm.common import id_and_text, summed, written
 from daybook.llm.components import components
 from daybook.llm.shingles import mix, shingle_hashes
 
-#: Counters of the table that orders n-grams: 2^18 of 4 bytes, 1 MB, whatever the size of the input.
+#: Counters of the table that orders n-grams: 2^18 of 8 bytes, 2 MB, whatever the size of the input.
 SKETCH_BITS = 18
 #: Up to so many ids (8 bytes each) are broadcast to find documents again; more are joined by shuffle.
 MOST_BROADCAST = 500_000
@@ -42,27 +41,15 @@ MOST_BROADCAST = 500_000
 def _sketch(rows: DataFrame, k: int) -> np.ndarray:
     """How many n-grams of all documents fall on each counter."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for _, _, data, bounds in packed(batch.column("text")):
                 grams, _ = shingle_hashes(data, bounds, k)
                 counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        packed_counts = [zlib.compress(x.astype("<i4").tobytes(), 1) for x in np.split(np.minimum(counts, 1 << 30), 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array(packed_counts, pa.binary())], ["part", "counts"])
+        return counts
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, x in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
-
-    parts = rows.select("text").mapInArrow(run, "part int, counts binary").repartition(16, "part").mapInArrow(total, "part int, counts binary")
-    out = np.zeros((16, (1 << SKETCH_BITS) // 16), np.int64)
-    for r in parts.collect():  # 2 MB at most
-        out[r.part] += np.frombuffer(r.counts, np.int64)
-    return out.reshape(-1)
+    return summed(rows.select("text"), count, 1 << SKETCH_BITS)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:

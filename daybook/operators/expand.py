@@ -103,7 +103,7 @@ def is_fast(rule: Column, start: Column) -> Column:
         once = once & (F.regexp_count(up, F.lit(rf"(\A|;){name}=")) <= 1)
     fits = up.rlike(r"(\A|;)FREQ=(DAILY|WEEKLY)(;|\z)") | (start.rlike("[Tt]") & up.contains("FREQ="))
     real_until = ~up.contains("UNTIL=") | columns.parse_datetime(_part(up, "UNTIL")).isNotNull()
-    return F.coalesce(up.rlike(FAST) & once & fits & real_until & ~(up.contains("UNTIL=") & up.contains("COUNT=")) & ~start.rlike("60[Zz]?$"), F.lit(False))
+    return F.coalesce(up.rlike(FAST) & once & fits & real_until & ~(up.contains("UNTIL=") & up.contains("COUNT=")) & ~start.rlike("60[Zz]?$") & columns.parse_datetime(start).isNotNull(), F.lit(False))
 
 
 def expand(series: DataFrame, rule: str = "rule", start: str = "dtstart", limit: int = LIMIT, max_years: int = MAX_YEARS, max_empty: int = MAX_EMPTY) -> DataFrame:

@@ -116,7 +116,13 @@ def fold_text(line: str, width: int = FOLD_WIDTH, ending: str = "\r\n") -> str:
 
 def fold(line: Column, width: int = FOLD_WIDTH, ending: str = "\r\n") -> Column:
     """Folded lines: the JVM way where it holds, else octet by octet in Arrow batches."""
-    exact = F.pandas_udf(lambda lines: lines.map(lambda x: None if x is None else fold_text(x, width, ending)), "string", F.PandasUDFType.SCALAR)
+    import pandas as pd
+
+    def each(lines):
+        return lines.map(lambda x: None if x is None else fold_text(x, width, ending))
+
+    each.__annotations__ = {"lines": pd.Series, "return": pd.Series}  # as objects, which pandas_udf reads
+    exact = F.pandas_udf(each, "string")
 
     plain = line.rlike(r"\A[\x00-<>-\x7f]*\z")
     return F.when(F.octet_length(line) <= width, F.concat(line, F.lit(ending))).when(plain, fold_plain(line, width, ending)).otherwise(exact(line))

@@ -463,13 +463,13 @@ def vtimezone_from_utc(spark, d):
     return rows.select("o_orderkey", stamp(back["wall"]).alias("wall"), back["fold"].alias("fold"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'document' ELSE 'unresolved' END AS source, CASE o_orderkey % 3 WHEN 0 THEN CAST(epoch(o_orderdate) AS BIGINT) - 32400 WHEN 1 THEN CAST(epoch(o_orderdate) AS BIGINT) - 5400 END AS instant FROM orders WHERE month(o_orderdate) IN (1, 2, 12)")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'document' ELSE 'unresolved' END AS source, CASE o_orderkey % 3 WHEN 0 THEN CAST(epoch(o_orderdate) AS BIGINT) - 32400 WHEN 1 THEN CAST(epoch(o_orderdate) AS BIGINT) - 5400 ELSE -1 END AS instant FROM orders WHERE month(o_orderdate) IN (1, 2, 12)")
 def zone_precedence(spark, d):
     key = F.col("o_orderkey") % 3
     rows = table(spark, d, "orders").where(F.month("o_orderdate").isin(1, 2, 12)).select("o_orderkey", F.lit(1).alias("zone_doc"), F.col("o_orderdate").alias("wall"), F.when(key == 0, "/Asia/Tokyo").when(key == 1, "Custom").otherwise("Nowhere").alias("tzid"))
     host = spark.createDataFrame([("Asia/Tokyo",), ("Europe/Zurich",)], "zone string")
     found = zones.resolve(rows, _custom_zone(spark), ["zone_doc"], host)
-    return found.select("o_orderkey", "source", columns.epoch(F.col("instant_utc")).alias("instant"))
+    return found.select("o_orderkey", "source", F.coalesce(columns.epoch(F.col("instant_utc")), F.lit(-1)).alias("instant"))
 
 
 @query("SELECT o_custkey AS doc_id, 'Z' || (o_orderkey % 3) AS tzid, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first_wall, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_wall, count(*) AS n_times FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2")

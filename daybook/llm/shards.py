@@ -145,10 +145,20 @@ class ShardTable:
                 part = runs[i : i + self.runs_per_job]
                 frames = [self.spark.read.schema(schema).parquet(*(self.folder + s.path for s in run)).coalesce(1) for run in part]
                 generation = 1 + max(s.generation for run in part for s in run)
-                merged += self._written(reduce(DataFrame.union, frames), generation)
+                merged += self._one_file_each(frames, generation)
             now = self._change(now.schema, merged, {s.path for run in runs for s in run})
         return now
 
+    def _one_file_each(self, frames: list[DataFrame], generation: int) -> list[Shard]:
+        """Frames of one partition, as one task and file each: a union of such would else be one task."""
+        key = "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(key, "true")
+        self.spark.conf.set(key, "false")
+        try:
+            return self._written(reduce(DataFrame.union, frames), generation)
+        finally:
+            self.spark.conf.set(key, before)
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version (the newest), with the shard that each is in as `shard`."""
         from pyspark.sql import functions as F

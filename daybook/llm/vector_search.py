@@ -6,9 +6,9 @@ deviations)^2 bounds their squared distance from below, so with both norms it bo
 Candidates go through the bounds coarse to fine; those that can still reach a query's k-th best score so far are scored
 exactly.
 
-Queries and candidates are packed into blocks of rows, and every query block meets every candidate block. That product is
-over blocks, it is the stated comparison of a query set with all rows, and each block pair sends on only k rows a query.
-No side is broadcast by this code.
+Queries and candidates are packed into blocks of rows, and every query block meets every candidate block on a grid of tasks.
+That product is over blocks, it is the stated comparison of a query set with all rows, and each block pair sends on only k
+rows a query. No side is broadcast by this code.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part; vectors are compared with those of
 their own dimension; ties go to the smaller id, then to the earlier copy of a repeated row; rows with a null id are no
@@ -145,7 +145,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                 a, b, scores = block_top(q_ids, np.frombuffer(q).reshape(-1, dim), c_ids, np.frombuffer(c).reshape(-1, dim), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(a.astype(np.int32)), pa.array(c_ids[b]), pa.array(scores)], ["query_id", "copy", "vec_id", "score"])
 
-    pairs = candidates.crossJoin(queries).where("dim = c_dim").drop("c_dim")
+    # Pairs of blocks lie on a grid: a candidate block goes to one row of it and to all its columns, a query block to one
+    # column and to all rows; the join's keys are the cells, so work is spread evenly whatever the number of dimensions.
+    across = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    down = max(1, -(-rows.where("is_query").count() // (64 * query_block)))
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = candidates.withColumn("i", dealt(across)).withColumn("j", every(down))
+    queries = queries.withColumn("j", dealt(down)).withColumn("i", every(across))
+    pairs = candidates.join(queries, ["i", "j"]).where("dim = c_dim").select("dim", "q_ids", "q_rows", "c_ids", "c_rows")
     scored = pairs.mapInArrow(run, "query_id long, copy int, vec_id long, score long").drop("copy")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

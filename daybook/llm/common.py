@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,14 +35,10 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one of this machine only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = f"file://{tempfile.gettempdir()}/daybook-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """The folder that driver and executors share, as the cluster names it; one of this machine only where none is named, as
+    in local mode, where there is but one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or f"file://{tempfile.gettempdir()}/daybook-shared").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,28 +46,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read again, and lets Spark drop the shuffle files of finished jobs:
+    it does so for plans that the JVM has collected, which else may take half an hour."""
+    for table_ in tables:
+        jvm = table_.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table_.stored_at)
+        path.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    SparkSession.getActiveSession()._jvm.System.gc()
 
 
-def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, parts: int = 16) -> np.ndarray:
+def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, parts: int = 16, kind: str = "<i8", add=np.add) -> np.ndarray:
     """The sum over all partitions of what `count` makes of each: `size` whole numbers, whatever the size of the input.
+    kind and add: another type of numbers, and another way to add them.
 
     Each partition sends its counts compressed; they are added part by part on the executors, and only sums reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.array_split(count(batches), parts)]
+        counts = [zlib.compress(x.astype(kind).tobytes(), 1) for x in np.array_split(count(batches), parts)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(counts, pa.binary())], ["part", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, x in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(x), "<i8")
+                own = np.frombuffer(zlib.decompress(x), kind)
+                sums[part] = add(sums[part], own) if part in sums else own
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
     added = rows.mapInArrow(run, "part int, counts binary").repartition(parts, "part").mapInArrow(total, "part int, counts binary")
-    out = [np.zeros(len(x), np.int64) for x in np.array_split(np.zeros(size, np.int8), parts)]
+    out = [np.zeros(len(x), kind) for x in np.array_split(np.zeros(size, np.int8), parts)]
     for r in added.collect():
-        out[r.part] += np.frombuffer(r.counts, "<i8")
+        out[r.part] = add(out[r.part], np.frombuffer(r.counts, kind))
     return np.concatenate(out)

@@ -28,40 +28,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.byte_bpe import packed
-from daybook.llm.common import id_and_text, summed, written
+from daybook.llm.common import discard, id_and_text, summed, written
 from daybook.llm.components import components
-from daybook.llm.shingles import mix, shingle_hashes
-
-#: Counters of the table that orders n-grams: 2^18 of 8 bytes, 2 MB, whatever the size of the input.
-SKETCH_BITS = 18
+from daybook.llm.shingles import cells, mix, shingle_hashes, split_at_texts, word_hashes
+
+#: Counters of each of the two tables that order n-grams (of n-grams and of words): 2^19, whatever the size of the input;
+#: what is broadcast is 4 bytes for each.
+COUNTERS = 1 << 19
+#: Bits of the map that tells which n-grams may be shared: 8 MB. It only spares shuffling rows of n-grams that aren't; with
+#: far more shared n-grams than an eighth of it, it spares less.
+MAP_BITS = 1 << 26
 #: Up to so many ids (8 bytes each) are broadcast to find documents again; more are joined by shuffle.
 MOST_BROADCAST = 500_000
 
 
-def _sketch(rows: DataFrame, k: int) -> np.ndarray:
-    """How many n-grams of all documents fall on each counter."""
+def _order(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the order of n-grams rests on, from counts over all documents: for each counter of n-grams log2 of what stands out
+    of the mean, for each counter of words log2 of its share, to which log2 of all words is added k-th by k-th.
+
+    How often an n-gram occurs is guessed as the larger of what its counter shows above the others' level and of what its
+    words' shares make likely; the second holds at any size of input.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        grams, words = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, _, data, bounds in packed(batch.column("text")):
-                grams, _ = shingle_hashes(data, bounds, k)
-                counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        return counts
+                own, _, _ = shingle_hashes(data, bounds, k)
+                grams += np.bincount(cells(own, COUNTERS), minlength=COUNTERS)
+                words += np.bincount(cells(word_hashes(split_at_texts(data, bounds)[0])[1], COUNTERS), minlength=COUNTERS)
+        return np.concatenate([grams, words])
+
+    counts = summed(rows.select("text"), count, 2 * COUNTERS).astype(np.float64)
+    grams, words = counts[:COUNTERS], counts[COUNTERS:]
+    usual = float(np.median(grams))
+    above = np.log2(np.maximum(grams - usual - 4 * np.sqrt(usual + 1), 2.0**-20))
+    total = max(float(words.sum()), 1.0)
+    share = np.log2(np.maximum(words, 1) / total) + np.log2(total) / k
+    return above.astype(np.float32), share.astype(np.float32)
 
-    return summed(rows.select("text"), count, 1 << SKETCH_BITS)
 
+def _tokens(data: bytes, bounds: np.ndarray, k: int, order: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """N-grams as numbers in the global order (level in six bits, then hash, below 2^63), and where each text's begin."""
+    above, share = order
+    grams, heads, sums = shingle_hashes(data, bounds, k, share)
+    guess = np.maximum(above[cells(grams, COUNTERS)], sums)
+    level = np.clip(np.round(2 * guess) + 16, 0, 63).astype(np.uint64)
+    return (level << np.uint64(57)) | (mix(grams) >> np.uint64(7)), heads.tolist()
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Six bits that rise with a counter, counted from what all hold on average."""
-    above = np.maximum(0, counts - np.median(counts))
-    return np.minimum(63, np.floor(2 * np.log2(above / max(8.0, float(np.median(counts)) / 4) + 1))).astype(np.uint64)
 
+def _marks(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(tokens.astype(np.uint64))
+    return (h >> np.uint64(38)).astype(np.int64), ((h >> np.uint64(12)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
 
-def _tokens(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """N-grams as numbers in the global order: level, then hash; below 2^63."""
-    level = levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return (level << np.uint64(57)) | (mix(grams) >> np.uint64(7))
+
+def _map(tokens: DataFrame) -> np.ndarray:
+    """Bits that tokens set: two for each."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(MAP_BITS, np.uint8)
+        for batch in batches:
+            for at in _marks(batch.column("token").to_numpy()):
+                bits[at] = 1
+        return np.packbits(bits)
+
+    return summed(tokens, mark, MAP_BITS // 8, kind="u1", add=np.bitwise_or)
 
 
 def _cells(column: Column, c: int) -> Column:
@@ -83,18 +114,17 @@ class JaccardJoin:
             raise ValueError("the threshold num / den lies in (0, 1], n-grams have a word or more")
         self.spark: SparkSession = docs.sparkSession
         self.rows, self.k, self.num, self.den = id_and_text(docs, doc_id, text), k, num, den
-        self.levels = self.spark.sparkContext.broadcast(_levels(_sketch(self.rows, k)))
+        self.order = self.spark.sparkContext.broadcast(_order(self.rows, k))
 
     def _prefix_rows(self) -> DataFrame:
         """doc_id, n, and for each prefix position the n-gram, the hash of the rest and its histogram."""
-        k, num, den, shared = self.k, self.num, self.den, self.levels
+        k, num, den, shared = self.k, self.num, self.den, self.order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            levels = shared.value
+            order = shared.value
             for batch in batches:
                 for i, j, data, bounds in packed(batch.column("text")):
-                    grams, heads = shingle_hashes(data, bounds, k)
-                    tokens, edges = _tokens(grams, levels), heads.tolist()
+                    tokens, edges = _tokens(data, bounds, k, order)
                     sizes, sums, cols = [], [], ([], [], [])
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         t = np.sort(tokens[a:b])
@@ -124,18 +154,40 @@ class JaccardJoin:
 
         return self.rows.mapInArrow(run, "doc_id long, n int, sig long, token array<long>, rest array<long>, hist array<long>")
 
+    def _marked_rows(self, prefixes: DataFrame, shared: DataFrame) -> DataFrame:
+        """A row for each n-gram of a prefix that may be shared: doc_id, n, i, token, rest, hist."""
+        bits = self.spark.sparkContext.broadcast(_map(shared))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marked = bits.value
+            for batch in batches:
+                sizes = batch.column("token").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                token, rest, hist = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("token", "rest", "hist"))
+                heads = np.concatenate([[0], np.cumsum(sizes)])
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                hit = np.ones(len(token), bool)
+                for at in _marks(token):
+                    hit &= (marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                at = np.flatnonzero(hit)
+                own = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(own), batch.column("n").take(own), pa.array((at - heads[row[at]]).astype(np.int32)), *(pa.array(x[at]) for x in (token, rest, hist))],
+                    ["doc_id", "n", "i", "token", "rest", "hist"],
+                )
+
+        return prefixes.select("doc_id", "n", "token", "rest", "hist").mapInArrow(run, "doc_id long, n int, i int, token long, rest long, hist long")
+
     def _sets(self, ids: DataFrame) -> DataFrame:
         """doc_id, tokens of the documents in ids (doc_id): whole sets."""
-        shared, k = self.levels, self.k
+        shared, k = self.order, self.k
         few = ids.count() <= MOST_BROADCAST
         wanted = self.rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, j, data, bounds in packed(batch.column("text")):
-                    grams, heads = shingle_hashes(data, bounds, k)
-                    tokens, edges = _tokens(grams, shared.value).astype(np.int64), heads.tolist()
-                    sets = [np.unique(tokens[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    tokens, edges = _tokens(data, bounds, k, shared.value)
+                    sets = [np.unique(tokens[a:b].astype(np.int64)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["doc_id", "tokens"])
 
@@ -153,7 +205,9 @@ class JaccardJoin:
         right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
         met = pairs.join(left, "a").join(right, "b")
         shared = F.size(F.array_intersect("x", "y"))
-        return written(met.where((self.num + self.den) * shared >= self._needed(F.size("x"), F.size("y"))).select("a", "b"), "links")
+        links = written(met.where((self.num + self.den) * shared >= self._needed(F.size("x"), F.size("y"))).select("a", "b"), "links")
+        discard(pairs, sets)
+        return links
 
     def _candidates(self, x: DataFrame, y: DataFrame, on: list[str], other: Column) -> DataFrame:
         """Pairs of classes of an n-gram that pass the length, positional and suffix filters."""
@@ -173,19 +227,23 @@ class JaccardJoin:
         """All documents (doc_id, n, sig), and components of those that link with another set."""
         whole = self._prefix_rows()
         table = written(whole, "prefixes")
-        docs = table.select("doc_id", "n", "sig")
-        sets = table.where("n > 0 AND doc_id IS NOT NULL")
+        docs = written(table.select("doc_id", "n", "sig"), "sizes")
+        prefixes, sets = (x.where("n > 0 AND doc_id IS NOT NULL") for x in (table, docs))
         first = written(sets.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "sets-of-copies")
         tight = (self.num + self.den) * (F.col("n") - F.col("i")) >= 2 * self.num * F.col("n")
-        rows = sets.select("doc_id", "n", "sig", F.posexplode(F.arrays_zip("token", "rest", "hist")).alias("i", "at")).select("doc_id", "n", "sig", "i", "at.token", "at.rest", "at.hist")
-        shared = rows.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
-        kept = rows.drop("sig").join(shared, "token", "left_semi")
+        # which n-grams different sets share: numbers only, added up before they are shuffled
+        grams = prefixes.select("sig", F.explode("token").alias("token"))
+        shared = written(grams.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token"), "shared")
+        discard()
+        kept = self._marked_rows(prefixes, shared).join(shared, "token", "left_semi")
         kept = written(kept.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumn("own", F.when(tight, F.lit(None).cast("long")).otherwise(F.col("doc_id"))), "rows")
+        discard(table, shared)
         key = ["token", "n", "rest", "own"]
         classes = written(kept.groupBy(key).agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members"), F.min("i").alias("i"), F.min("hist").alias("hist")), "classes")
         several = classes.where("members > 1 AND own IS NULL").select("token", "n", "rest", "head")
         inner = kept.where("own IS NULL").join(several, ["token", "n", "rest"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
         inner = written(inner, "inner")
+        discard(kept)
 
         alone = classes.withColumn("component", F.col("head"))
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(self.den / self.num if self.num < self.den else 2.0)))

@@ -43,9 +43,10 @@ def split_at_texts(data: bytes, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
     return body, bounds + np.arange(len(bounds))
 
 
-def shingle_hashes(data: bytes, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word shingles of texts laid end to end, and where each text's begin (one more than texts). A text of
-    1 to k - 1 words has one shingle, all its words."""
+def shingle_hashes(data: bytes, bounds: np.ndarray, k: int, word_scores: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Hashes of all k-word shingles of texts laid end to end, where each text's begin (one more than texts), and for each
+    shingle the sum of its words' scores, which stand under the upper bits of a word's hash. A text of 1 to k - 1 words has
+    one shingle, all its words."""
     body, bounds = split_at_texts(data, bounds)
     start, word = word_hashes(body)
     first = np.searchsorted(start, bounds)
@@ -56,6 +57,17 @@ def shingle_hashes(data: bytes, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     size = np.repeat(np.minimum(n, k), count)
     out = size.astype(np.uint64)
     pad = np.concatenate([word, np.zeros(k, np.uint64)])
+    sums = None
+    if word_scores is not None:
+        sums = np.zeros(len(out), np.float32)
+        scores = np.concatenate([word_scores[cells(word, len(word_scores))], np.zeros(k, np.float32)])
     for j in range(k):
         out = np.where(j < size, mix(out * np.uint64(0x9E3779B97F4A7C15) + pad[at + j]), out)
-    return out, heads
+        if sums is not None:
+            sums += np.where(j < size, scores[at + j], np.float32(0))
+    return out, heads, sums
+
+
+def cells(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Which counter of `size` (a power of two) a hash falls on."""
+    return (hashes >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)

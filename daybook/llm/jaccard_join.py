@@ -10,7 +10,7 @@ by hash. Linked documents share one of their first n - ceil(num * n / den) + 1 n
    linked to each other, so one of them stands for it; copies and near copies fall together here, before any pair is made.
 3. Classes of an n-gram meet the one with the fewest rarer n-grams (its hub), then only classes of other components meet.
    Candidates must pass the length filter, the positional filter (what can still be shared) and the suffix filter (the
-   least difference of the remaining sets by counts in eight cells).
+   least difference of the remaining sets by counts in eight cells, then of the whole sets by parities of 512 cells).
 4. Each pair is verified once, on whole sets.
 
 Cases: null and empty texts have no set and link with nothing; rows with the same id are one document that links where
@@ -35,6 +35,8 @@ from daybook.llm.shingles import cells, mix, shingle_hashes, split_at_texts, wor
 #: Counters of each of the two tables that order n-grams (of n-grams and of words): 2^19, whatever the size of the input;
 #: what is broadcast is 4 bytes for each.
 COUNTERS = 1 << 19
+#: Cells of a whole set whose parities are kept with each document, for a second suffix filter: 8 words of 64 bits.
+PARITY_WORDS = 8
 #: Bits of the map that tells which n-grams may be shared: 8 MB. It only spares shuffling rows of n-grams that aren't; with
 #: far more shared n-grams than an eighth of it, it spares less.
 MAP_BITS = 1 << 26
@@ -125,7 +127,7 @@ class JaccardJoin:
             for batch in batches:
                 for i, j, data, bounds in packed(batch.column("text")):
                     tokens, edges = _tokens(data, bounds, k, order)
-                    sizes, sums, cols = [], [], ([], [], [])
+                    sizes, sums, cols, parities = [], [], ([], [], []), []
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         t = np.sort(tokens[a:b])
                         if len(t) > 1:
@@ -144,15 +146,19 @@ class JaccardJoin:
                                 gone = np.cumsum(gone, axis=0)
                             left = ((total[None, :] - gone) & 255).astype(np.uint64)
                             hist = (left << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+                        odd = np.bincount((hashes >> np.uint64(50)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+                        parities.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
                         sizes.append(n)
                         sums.append(int(rest[0].astype(np.int64)) if n else 0)
                         for column, x in zip(cols, (t[:p], rest, hist), strict=True):
                             column.append(x.astype(np.int64))
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[0]])]).astype(np.int32))
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in cols]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(sums, pa.int64()), *lists], ["doc_id", "n", "sig", "token", "rest", "hist"])
+                    words = pa.array(np.arange(0, PARITY_WORDS * (len(sizes) + 1), PARITY_WORDS, dtype=np.int32))
+                    lists.append(pa.ListArray.from_arrays(words, pa.array(np.concatenate(parities))))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(sums, pa.int64()), *lists], ["doc_id", "n", "sig", "token", "rest", "hist", "parity"])
 
-        return self.rows.mapInArrow(run, "doc_id long, n int, sig long, token array<long>, rest array<long>, hist array<long>")
+        return self.rows.mapInArrow(run, "doc_id long, n int, sig long, token array<long>, rest array<long>, hist array<long>, parity array<long>")
 
     def _marked_rows(self, prefixes: DataFrame, shared: DataFrame) -> DataFrame:
         """A row for each n-gram of a prefix that may be shared: doc_id, n, i, token, rest, hist."""
@@ -197,9 +203,19 @@ class JaccardJoin:
         """den * s >= num * (n + m - s), as (num + den) * s >= num * (n + m)."""
         return F.lit(self.num) * (n + m)
 
+    def _near_enough(self, pairs: DataFrame) -> DataFrame:
+        """The suffix filter once for each pair, on whole sets and in finer cells: a cell whose parity differs holds at least
+        one n-gram of only one set."""
+        side = lambda key, n, p: self.parities.select(F.col("doc_id").alias(key), F.col("n").alias(n), F.col("parity").alias(p))
+        met = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
+        apart = sum((F.bit_count(F.get("p", k).bitwiseXOR(F.get("q", k))) for k in range(PARITY_WORDS)), F.lit(0))
+        n, m = F.col("n"), F.col("m")
+        spare = n + m - 2 * F.ceil(self._needed(n, m) / F.lit(self.num + self.den))
+        return met.where(apart <= spare).select("a", "b").distinct()
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that link, each compared once on whole sets."""
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
+        pairs = written(self._near_enough(pairs.select("a", "b").distinct()), "pairs")
         sets = written(self._sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
@@ -228,6 +244,7 @@ class JaccardJoin:
         whole = self._prefix_rows()
         table = written(whole, "prefixes")
         docs = written(table.select("doc_id", "n", "sig"), "sizes")
+        self.parities = written(table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "parity"), "parities")
         prefixes, sets = (x.where("n > 0 AND doc_id IS NOT NULL") for x in (table, docs))
         first = written(sets.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "sets-of-copies")
         tight = (self.num + self.den) * (F.col("n") - F.col("i")) >= 2 * self.num * F.col("n")

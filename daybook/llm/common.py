@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zlib
@@ -23,9 +22,12 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches in this session; texts make the usual 10,000 rows far too large."""
+    """Bounds Arrow batches in this session; texts make the usual 10,000 rows far too large. Spark reads the bounds when a
+    plan runs, which is after an operator returns it, so they stay; they change no result, and tighter ones are kept."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        spark.conf.set(key, str(most))
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,31 +37,37 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one of this machine only where none is named, as
-    in local mode, where there is but one machine."""
+    """The folder that driver and executors share, as the cluster names it. Without a name there is one only where there is
+    but one machine, in local mode; elsewhere this raises, as executors would write where others can't read."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or f"file://{tempfile.gettempdir()}/daybook-shared").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends here and outlives lost executors."""
+    """df as a Parquet table in the shared folder, read back: lineage ends here and outlives lost executors. Shuffle files of
+    the job go as soon as the table is there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of `written` that nothing will read again, and lets Spark drop the shuffle files of finished jobs:
-    it does so for plans that the JVM has collected, which else may take half an hour."""
+    """Deletes tables of `written` that nothing will read again."""
     for table_ in tables:
         jvm = table_.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table_.stored_at)
         path.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
 
 
 def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, parts: int = 16, kind: str = "<i8", add=np.add) -> np.ndarray:

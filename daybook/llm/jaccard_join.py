@@ -10,7 +10,8 @@ by hash. Linked documents share one of their first n - ceil(num * n / den) + 1 n
    linked to each other, so one of them stands for it; copies and near copies fall together here, before any pair is made.
 3. Classes of an n-gram meet the one with the fewest rarer n-grams (its hub), then only classes of other components meet.
    Candidates must pass the length filter, the positional filter (what can still be shared) and the suffix filter (the
-   least difference of the remaining sets by counts in eight cells, then of the whole sets by parities of 512 cells).
+   least difference of the remaining sets by counts in eight cells, then of the whole sets by parities of as many cells as
+   they have n-grams). Classes meet by bands of sizes that may link, and those of a hot n-gram on several tasks.
 4. Each pair is verified once, on whole sets.
 
 Cases: null and empty texts have no set and link with nothing; rows with the same id are one document that links where
@@ -35,8 +36,11 @@ from daybook.llm.shingles import cells, mix, shingle_hashes, split_at_texts, wor
 #: Counters of each of the two tables that order n-grams (of n-grams and of words): 2^19, whatever the size of the input;
 #: what is broadcast is 4 bytes for each.
 COUNTERS = 1 << 19
-#: Cells of a whole set whose parities are kept with each document, for a second suffix filter: 8 words of 64 bits.
-PARITY_WORDS = 8
+#: Least number of cells of a whole set whose parities are kept with each document, for a second suffix filter. A larger set
+#: has as many as n-grams, rounded up to a power of two: about an eighth of a byte for an n-gram whatever a text's length.
+LEAST_CELLS = 512
+#: Classes of one n-gram that meet all others in one task; more are dealt to as many tasks as it takes.
+CLASSES_A_TASK = 1024
 #: Bits of the map that tells which n-grams may be shared: 8 MB. It only spares shuffling rows of n-grams that aren't; with
 #: far more shared n-grams than an eighth of it, it spares less.
 MAP_BITS = 1 << 26
@@ -101,6 +105,19 @@ def _cells(column: Column, c: int) -> Column:
     return F.shiftrightunsigned(column, 8 * c).bitwiseAND(F.lit(255))
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Parities of how many n-grams fall on each cell, 64 cells a word. Cells of half as many come by folding the words."""
+    size = max(LEAST_CELLS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _folded(words: Column, n: Column) -> Column:
+    """Parities of n words from those of a multiple."""
+    at = lambda k: F.aggregate(F.sequence(F.lit(0), (F.size(words) / n).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(words, k + j * n)))
+    return F.when(F.size(words) == n, words).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at))
+
+
 def _apart(a: Column, b: Column) -> Column:
     """At least so many n-grams are in one of two sets only: differences of eight counts, each known modulo 256."""
     out = F.lit(0)
@@ -119,7 +136,8 @@ class JaccardJoin:
         self.order = self.spark.sparkContext.broadcast(_order(self.rows, k))
 
     def _prefix_rows(self) -> DataFrame:
-        """doc_id, n, and for each prefix position the n-gram, the hash of the rest and its histogram."""
+        """doc_id, n, the set's identity (two hashes of 64 bits), and for each prefix position the n-gram, the hash of the
+        rest and its histogram."""
         k, num, den, shared = self.k, self.num, self.den, self.order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +145,7 @@ class JaccardJoin:
             for batch in batches:
                 for i, j, data, bounds in packed(batch.column("text")):
                     tokens, edges = _tokens(data, bounds, k, order)
-                    sizes, sums, cols, parities = [], [], ([], [], []), []
+                    sizes, sums, others, cols, parities = [], [], [], ([], [], []), []
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         t = np.sort(tokens[a:b])
                         if len(t) > 1:
@@ -146,19 +164,19 @@ class JaccardJoin:
                                 gone = np.cumsum(gone, axis=0)
                             left = ((total[None, :] - gone) & 255).astype(np.uint64)
                             hist = (left << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
-                        odd = np.bincount((hashes >> np.uint64(50)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
-                        parities.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
+                        parities.append(_parities(hashes))
                         sizes.append(n)
                         sums.append(int(rest[0].astype(np.int64)) if n else 0)
+                        others.append(int(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)))
                         for column, x in zip(cols, (t[:p], rest, hist), strict=True):
                             column.append(x.astype(np.int64))
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[0]])]).astype(np.int32))
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in cols]
-                    words = pa.array(np.arange(0, PARITY_WORDS * (len(sizes) + 1), PARITY_WORDS, dtype=np.int32))
+                    words = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parities])]).astype(np.int32))
                     lists.append(pa.ListArray.from_arrays(words, pa.array(np.concatenate(parities))))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(sums, pa.int64()), *lists], ["doc_id", "n", "sig", "token", "rest", "hist", "parity"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), *lists], ["doc_id", "n", "sig", "sig2", "token", "rest", "hist", "parity"])
 
-        return self.rows.mapInArrow(run, "doc_id long, n int, sig long, token array<long>, rest array<long>, hist array<long>, parity array<long>")
+        return self.rows.mapInArrow(run, "doc_id long, n int, sig long, sig2 long, token array<long>, rest array<long>, hist array<long>, parity array<long>")
 
     def _marked_rows(self, prefixes: DataFrame, shared: DataFrame) -> DataFrame:
         """A row for each n-gram of a prefix that may be shared: doc_id, n, i, token, rest, hist."""
@@ -208,7 +226,9 @@ class JaccardJoin:
         one n-gram of only one set."""
         side = lambda key, n, p: self.parities.select(F.col("doc_id").alias(key), F.col("n").alias(n), F.col("parity").alias(p))
         met = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
-        apart = sum((F.bit_count(F.get("p", k).bitwiseXOR(F.get("q", k))) for k in range(PARITY_WORDS)), F.lit(0))
+        cells = F.least(F.size("p"), F.size("q"))
+        differ = F.zip_with(_folded(F.col("p"), cells), _folded(F.col("q"), cells), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        apart = F.aggregate(differ, F.lit(0), lambda x, y: x + y)
         n, m = F.col("n"), F.col("m")
         spare = n + m - 2 * F.ceil(self._needed(n, m) / F.lit(self.num + self.den))
         return met.where(apart <= spare).select("a", "b").distinct()
@@ -225,6 +245,21 @@ class JaccardJoin:
         discard(pairs, sets)
         return links
 
+    def _band(self) -> Column:
+        """Sizes by powers of the largest ratio that may link, a hair more, so linked sizes lie in one band or in neighbours."""
+        ratio = self.den / self.num if self.num < self.den else 2.0
+        return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(ratio)) * (1 + 1e-9)))
+
+    def _far_pairs(self, rest: DataFrame) -> DataFrame:
+        """Pairs of classes of an n-gram that are in different components. rest: classes with `classes`, their number for the
+        n-gram. A class meets those that are not smaller, of its band and the next; where an n-gram has many classes, the
+        smaller ones are dealt to tasks and the others go to all of these."""
+        tasks = F.ceil(F.col("classes") / F.lit(CLASSES_A_TASK)).cast("int")
+        small = rest.withColumn("task", F.pmod(F.xxhash64("head", "n"), tasks).cast("int"))
+        large = rest.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+        rising = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_head") < F.col("y_head")))
+        return self._candidates(small, large, ["token", "band", "task"], rising & (F.col("x_component") != F.col("y_component")) & (F.col("x_head") != F.col("y_head")))
+
     def _candidates(self, x: DataFrame, y: DataFrame, on: list[str], other: Column) -> DataFrame:
         """Pairs of classes of an n-gram that pass the length, positional and suffix filters."""
         x = x.select(*on, *(F.col(c).alias(f"x_{c}") for c in ("n", "i", "hist", "head", "component")))
@@ -240,56 +275,53 @@ class JaccardJoin:
         return joined.select(F.least("x_head", "y_head").alias("a"), F.greatest("x_head", "y_head").alias("b"))
 
     def linked(self) -> tuple[DataFrame, DataFrame]:
-        """All documents (doc_id, n, sig), and components of those that link with another set."""
-        whole = self._prefix_rows()
-        table = written(whole, "prefixes")
-        docs = written(table.select("doc_id", "n", "sig"), "sizes")
+        """All documents (doc_id, n, sig, sig2), and components of those that link with another set."""
+        table = written(self._prefix_rows(), "prefixes")
+        docs = written(table.select("doc_id", "n", "sig", "sig2"), "sizes")
         self.parities = written(table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "parity"), "parities")
         prefixes, sets = (x.where("n > 0 AND doc_id IS NOT NULL") for x in (table, docs))
-        first = written(sets.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "sets-of-copies")
+        same = ["n", "sig", "sig2"]
+        first = written(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")), "sets-of-copies")
         tight = (self.num + self.den) * (F.col("n") - F.col("i")) >= 2 * self.num * F.col("n")
         # which n-grams different sets share: numbers only, added up before they are shuffled
         grams = prefixes.select("sig", F.explode("token").alias("token"))
         shared = written(grams.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token"), "shared")
-        discard()
         kept = self._marked_rows(prefixes, shared).join(shared, "token", "left_semi")
         kept = written(kept.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumn("own", F.when(tight, F.lit(None).cast("long")).otherwise(F.col("doc_id"))), "rows")
         discard(table, shared)
         key = ["token", "n", "rest", "own"]
-        classes = written(kept.groupBy(key).agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members"), F.min("i").alias("i"), F.min("hist").alias("hist")), "classes")
+        classes = written(kept.groupBy(key).agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members"), F.min("i").alias("i"), F.min("hist").alias("hist")).withColumn("band", self._band()), "classes")
         several = classes.where("members > 1 AND own IS NULL").select("token", "n", "rest", "head")
         inner = kept.where("own IS NULL").join(several, ["token", "n", "rest"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
         inner = written(inner, "inner")
         discard(kept)
 
         alone = classes.withColumn("component", F.col("head"))
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(self.den / self.num if self.num < self.den else 2.0)))
-        banded = alone.withColumn("band", band)
-        hubs = banded.groupBy("token", "band").agg(F.min(F.struct("i", "head", "n", "hist", "component")).alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("token", "band", "hub.*")
-        near = self._verified(self._candidates(banded, hubs, ["token", "band"], F.col("x_head") != F.col("y_head")))
-        several_sets = sets.groupBy("doc_id").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("doc_id")
-        same_id = sets.select("doc_id", "n", "sig").join(several_sets, "doc_id", "left_semi").join(first, ["n", "sig"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        links = inner.union(near).union(same_id)
-        known = components(links)
+        hubs = alone.groupBy("token", "band").agg(F.min(F.struct("i", "head", "n", "hist", "component")).alias("hub"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("token", "band", "hub.*")
+        near = self._verified(self._candidates(alone, hubs, ["token", "band"], F.col("x_head") != F.col("y_head")))
+        several_sets = sets.groupBy("doc_id").agg(F.min(F.struct("sig", "sig2")).alias("low"), F.max(F.struct("sig", "sig2")).alias("high")).where("low <> high").select("doc_id")
+        same_id = sets.select("doc_id", *same).join(several_sets, "doc_id", "left_semi").join(first, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        known = components(inner.union(near).union(same_id))
+        discard(inner, near)
         placed = classes.join(known.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
-        placed = written(placed, "placed")
+        placed = written(placed.select("token", "band", "n", "i", "hist", "head", "component"), "placed")
+        discard(classes)
         # n-grams whose classes are all in one component need no more pairs
-        open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        rest = placed.join(open_, "token", "left_semi")
-        order = (F.col("x_component") < F.col("y_component")) & (F.col("x_head") != F.col("y_head"))
-        far = self._verified(self._candidates(rest, rest, ["token"], order))
+        open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("classes")).where("low <> high").select("token", "classes")
+        far = self._verified(self._far_pairs(placed.join(open_, "token")))
+        discard(placed, self.parities)
         moved = far.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         joined = components(moved.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         nodes = known.select("node", "component").union(far.select("a", "a")).union(far.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
         final = nodes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left").select("node", F.coalesce("over", "component").alias("component"))
         # from sets of copies to their documents: an equal set links with all others of its kind
-        by_set = first.join(final, first.rep == final.node, "left").select("n", "sig", F.coalesce("component", "rep").alias("component"))
+        by_set = first.join(final, first.rep == final.node, "left").select(*same, F.coalesce("component", "rep").alias("component"))
         return docs, by_set
 
 
 def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles (size of its set), component_id (smallest id that links reach, its own included)."""
     rows, by_set = JaccardJoin(docs, k, num, den, doc_id, text).linked()
-    found = rows.join(by_set, ["n", "sig"], "left")
+    found = rows.join(by_set, ["n", "sig", "sig2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))

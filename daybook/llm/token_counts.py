@@ -13,7 +13,8 @@ characters). Spans are taken in order of their start; a span that begins inside
 Tokens that no span holds count in section -1.
 
 Cases: a null or empty text, and a text without spans, gives one row, section 0 (or -1), with no (or all) tokens; null
-ids and repeated rows stay rows of their own; other columns are left out.
+ids and repeated rows stay rows of their own; texts of any length are encoded whole; an empty table gives an empty one;
+other columns are left out, so that their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from daybook.llm.bpe_codec import codec
 from daybook.llm.byte_bpe import packed
-from daybook.llm.common import id_and_text
+from daybook.llm.common import id_and_text, small_batches
 
 RULES = ("majority", "start", "end")
 COUNTED = "doc_id long, section int, char_start int, char_end int, n_tokens long, n_crossing long"
@@ -128,5 +129,6 @@ def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority", spans
         for batch in batches:
             yield from (lines if spans is None else given)(batch)
 
+    small_batches(docs.sparkSession)
     rows = id_and_text(docs, doc_id, text) if spans is None else docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{spans}`").alias("spans"))
     return rows.mapInArrow(run, COUNTED)

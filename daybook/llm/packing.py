@@ -8,6 +8,8 @@ what is left of a unit goes on into the next, and the last of a partition become
 most one padded sequence. The sequences of a unit are dealt to step groups of about `step_tokens` ids, tier by tier in
 turn, so that groups hold equal shares of all tiers.
 
+Added tokens of the tokenizer that stand in a text are one id each, as its library reads them.
+
 Cases: a null or empty text is its end id alone; null ids and repeated rows are documents of their own; a document of any
 length is packed whole; an empty table gives no pieces; other columns are left out.
 """
@@ -15,6 +17,7 @@ length is packed whole; an empty table gives no pieces; other columns are left o
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from daybook.llm.byte_bpe import ByteBpe, packed
+from daybook.llm.byte_bpe import ByteBpe, Encoded, packed
 from daybook.llm.common import id_and_text
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step long"
@@ -32,9 +35,10 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 LEAST_TIER = 64
 
 
-def vocabulary(path: str) -> dict[bytes, int]:
-    """The ids of a byte-level tokenizer file, by bytes. The file writes byte b as one printable character: itself where
-    it is a visible one of Latin-1, else the next free code point from 256 on."""
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """The ids of a byte-level tokenizer file, by bytes, and those of its added tokens, which are found in a text before
+    anything else. The file writes byte b as one printable character: itself where it is a visible one of Latin-1, else the
+    next free code point from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
     letters, free = {}, 256
     for b in range(256):
@@ -42,17 +46,52 @@ def vocabulary(path: str) -> dict[bytes, int]:
         free += b not in visible
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    special = {x["content"] for x in model.get("added_tokens", [])}
-    return {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    added = {}
+    for x in model.get("added_tokens") or []:
+        if x.get("single_word") or x.get("lstrip") or x.get("rstrip"):
+            raise ValueError(f"added token {x['content']!r} takes more than its own characters, which is not supported")
+        added[x["content"].encode()] = x["id"]
+    return {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token.encode() not in added}, added
+
+
+class Encoder:
+    """Ids of whole texts as the tokenizer's library gives them."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        ranks, self.added = vocabulary(path)
+        library = tiktoken.Encoding("packing", pat_str=r".", mergeable_ranks=ranks, special_tokens={})
+        self.bpe = ByteBpe(ranks, library._core_bpe.encode_single_piece)
+        by_length = sorted(self.added, key=lambda t: (-len(t), t))  # the longest of several at one place
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, by_length)) + b")") if by_length else None
+
+    def encode(self, data: bytes, bounds: np.ndarray) -> Encoded:
+        """Texts laid end to end. Where an added token stands, the text before and after it are encoded by themselves."""
+        if not self.cut or not self.cut.search(data):
+            return self.bpe.encode(data, bounds)
+        edges = bounds.tolist()
+        parts = [self.cut.split(data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        texts = [x for own in parts for x in own[::2]]
+        encoded = self.bpe.encode(b"".join(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+        out, sizes, at = [], [], 0
+        for own in parts:
+            size = 0
+            for k, part in enumerate(own):
+                if k % 2:
+                    ids = np.array([self.added[part]], encoded.ids.dtype)
+                else:
+                    ids = encoded.ids[encoded.bounds[at] : encoded.bounds[at + 1]]
+                    at += 1
+                out.append(ids)
+                size += len(ids)
+            sizes.append(size)
+        return Encoded(np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)]))
 
 
 @lru_cache(2)
-def encoder(path: str) -> ByteBpe:
-    import tiktoken
-
-    ranks = vocabulary(path)
-    library = tiktoken.Encoding("packing", pat_str=r".", mergeable_ranks=ranks, special_tokens={})
-    return ByteBpe(ranks, library._core_bpe.encode_single_piece)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 class Piece:

@@ -7,9 +7,10 @@ word, which is scored in the token's place along with the token's own letters.
 
 The classifier is a logistic regression on words and their beginnings, learned from labelled rows that aren't held out. Its
 sample is bounded by `most_toxic` and `most_clean` rows (the first by a hash of the id); its prior comes from all labels.
+No other number is bounded.
 
-Cases: a null or empty text has the score of a text without evidence; without labels of both kinds all scores are the share
-of toxic labels (0 without labels); several labels of an id count as toxic if one is; repeated rows and null ids are scored
+Cases: a null or empty text has the score of a text without evidence; where the labels, or the labelled documents of the
+table, aren't of both kinds, no word has a weight and all scores are the share of toxic labels (0 without labels); several labels of an id count as toxic if one is; repeated rows and null ids are scored
 each; texts of any length are scored whole; other columns are left out.
 """
 
@@ -26,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daybook.llm.byte_bpe import packed
-from daybook.llm.common import id_and_text, summed
+from daybook.llm.common import id_and_text, small_batches, summed
 
 # Letters of the character model beside a-z; all others share one code.
 ACCENTED = "àâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿßışğ"
@@ -197,8 +199,9 @@ def _fit(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, width: int, r
     return bias, w
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out=None, most_toxic: int = 3000, most_clean: int = 6000, most_candidates: int = 30_000, most_features: int = 6000) -> Model:
-    """labels: doc_id, toxic. held_out: a condition on doc_id; such rows are never read."""
+def train(docs: DataFrame, labels: DataFrame, held_out=None, most_toxic: int = 3000, most_clean: int = 6000) -> Model:
+    """labels: doc_id, toxic. held_out: a condition on doc_id; such rows are never read. Labelled rows are sampled up to
+    most_toxic and most_clean; all features of the sample take part that three of its toxic texts have."""
     docs = id_and_text(docs)
     spark = docs.sparkSession
     characters = count_trigrams(docs)
@@ -231,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, most_toxic: int = 3
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["feature", "n"])
 
     frequent = rows.where("toxic = 1").select("doc_id", "toxic", "text").mapInArrow(counted, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
-    candidates = {r.feature: k for k, r in enumerate(frequent.orderBy(F.desc("n"), "feature").limit(most_candidates).collect())}
+    candidates = {r.feature: k for k, r in enumerate(sorted(frequent.collect(), key=lambda r: r.feature))}  # of the bounded sample only
     shared = spark.sparkContext.broadcast(candidates)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,14 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, most_toxic: int = 3
 
     seen = sorted(rows.select("doc_id", "toxic", "text").mapInArrow(placed, "doc_id long, toxic int, present binary").collect(), key=lambda r: (r.doc_id, r.present))
     label = np.array([r.toxic for r in seen], np.float64)
+    if not 0 < label.sum() < len(label):  # labelled documents of one kind, or none, are in the table
+        return Model(characters, odds)
     present = [np.frombuffer(r.present, "<i4") for r in seen]
     at, what = np.repeat(np.arange(len(seen)), [len(x) for x in present]), np.concatenate(present).astype(np.int64)
     n1, n0 = label.sum(), (1 - label).sum()
     d1, d0 = (np.bincount(what, weights=(label == y)[at].astype(float), minlength=len(candidates)) for y in (1, 0))
     lift = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
     gain = np.where(lift > 1.5, d1 * lift, 0)
-    chosen = np.argsort(-gain, kind="stable")[:most_features]
-    chosen = chosen[gain[chosen] > 0]
+    chosen = np.flatnonzero(gain > 0)
     place = np.full(len(candidates), -1)
     place[chosen] = np.arange(len(chosen))
     use = place[what] >= 0
@@ -261,7 +265,18 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, most_toxic: int = 3
 
 def score(docs: DataFrame, model: Model, restored: bool = False) -> DataFrame:
     """doc_id, score, evidence (number of weighted features that the text has), and the restored text if asked for."""
+    return scored(id_and_text(docs), model, restored).drop("text")
+
+
+def scored(docs: DataFrame, model: Model, restored: bool = False, text: str = "text", names: tuple[str, str, str] = ("score", "evidence", "restored")) -> DataFrame:
+    """docs with all their columns, and the score, the evidence and the restored text (if asked for) under `names`; a column
+    that has such a name gives way."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = names[: 2 + restored]
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
+    kept = rows.columns
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.IntegerType(), T.StringType()), strict=False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -281,16 +296,16 @@ def score(docs: DataFrame, model: Model, restored: bool = False) -> DataFrame:
 
         for batch in batches:
             scores, evidence, texts = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = {f for t in restorer.tokens(text or "") if (own := weighted(t)) for f in own}
+            for text_ in batch.column(kept.index(text)).to_pylist():
+                found = {f for t in restorer.tokens(text_ or "") if (own := weighted(t)) for f in own}
                 scores.append(logistic(model.bias + sum(weights[f] for f in sorted(found))))
                 evidence.append(len(found))
                 if restored:
-                    texts.append(restorer.restore(text or ""))
-            columns = [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.int32()), *([pa.array(texts, pa.string())] if restored else [])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence", "restored"][: len(columns)])
+                    texts.append(restorer.restore(text_ or ""))
+            more = [pa.array(scores, pa.float64()), pa.array(evidence, pa.int32()), *([pa.array(texts, pa.string())] if restored else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*kept, *names])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double, evidence int" + ", restored string" * restored)
+    return rows.mapInArrow(run, schema)
 
 
 def is_held_out(doc_id="doc_id"):

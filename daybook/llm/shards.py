@@ -8,21 +8,25 @@ version number, by renaming a finished file to a name that must not exist. A rea
 half a change; a writer that finds its version taken reads the new one and tries again. `vacuum` deletes files that no kept
 version names.
 
-All access to files goes through Spark and its file systems, so the folder may be in any store that Spark reads.
+All access to files goes through Spark and its file systems. A commit is atomic and exclusive where a rename is and refuses
+a name that exists: on HDFS, on local and other POSIX file systems, and in object stores whose connector gives this (stores
+with hierarchical names). A store that copies in place of renaming needs a single writer.
 
 Cases: an empty table commits a version without new shards; nulls, repeated rows, very long texts and any columns are kept
-as they are; a merge that loses its executors is run again by Spark and only finished files are committed.
+as they are, one named `shard` included (the shard's column then has another name); a merge that loses its executors is run again by Spark and only finished files are committed.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -159,27 +163,42 @@ class ShardTable:
         finally:
             self.spark.conf.set(key, before)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (the newest), with the shard that each is in as `shard`."""
-        from pyspark.sql import functions as F
+    def shard_column(self, schema: T.StructType) -> str:
+        """`shard`, with underscores before it where the table has a column of that name."""
+        name = "shard"
+        while name in {c.lower() for c in schema.names}:
+            name = f"_{name}"
+        return name
 
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version (the newest), with the shard that each is in as the last column (see `shard_column`)."""
         found = self.manifest(version)
         if not found:
             raise ValueError(f"no table at {self.folder}")
         schema = T.StructType.fromJson(json.loads(found.schema))
+        name = self.shard_column(schema)
         if not found.shards:
-            return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("string"))
+            return self.spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("string"))
         rows = self.spark.read.schema(schema).parquet(*(self.folder + s.path for s in found.shards))
-        return rows.select("*", F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name")).alias("shard"))
+        place = rows.metadataColumn("_metadata")
+        return rows.select(*(F.col(f"`{c}`") for c in schema.names), F.concat_ws("/", F.element_at(F.split(place["file_path"], "/"), -2), place["file_name"]).alias(name))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards that none of the `keep` newest versions names, and older manifests. Returns how many shards went."""
+    def vacuum(self, keep: int = 1, orphans_after: float = 86_400) -> int:
+        """Deletes shards that none of the `keep` newest versions names, and older manifests. Files that no version names, as
+        a writer that failed or lost its version leaves them, go once they are `orphans_after` seconds old. Returns how many
+        files went."""
         jvm, fs = self._fs()
         versions = self._versions()
         live = {s.path for v in versions[-keep:] for s in self.manifest(v).shards}
-        gone = {s.path for v in versions[:-keep] for s in self.manifest(v).shards} - live
-        for path in gone:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(self.folder + path), False)
+        replaced = {s.path for v in versions[:-keep] for s in self.manifest(v).shards} - live
+        root = jvm.org.apache.hadoop.fs.Path
+        for path in replaced:
+            fs.delete(root(self.folder + path), False)
         for v in versions[:-keep]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifests/v{v:012d}.json"), False)
-        return len(gone)
+            fs.delete(root(f"{self.folder}/manifests/v{v:012d}.json"), False)
+        gone, now = len(replaced), time.time()
+        for s in fs.globStatus(root(f"{self.folder}/shards/*/part-*.parquet")) or []:
+            path = f"/shards/{s.getPath().getParent().getName()}/{s.getPath().getName()}"
+            if path not in live and now - s.getModificationTime() / 1000 >= orphans_after:
+                gone += bool(fs.delete(s.getPath(), False))
+        return gone

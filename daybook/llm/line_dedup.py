@@ -56,12 +56,15 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_i
     found = written(boilerplate(lines, min_sites), "boilerplate")
     here = F.struct("doc_id", "line_no")
     hits = lines.join(found.select("a", "b", "first"), ["a", "b"]).where(~here.eqNullSafe(F.col("first")))
-    removed = hits.groupBy("row_a", "row_b").agg(F.collect_set("line_no").alias("__removed"))
-    keyed = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(_row(doc_id, text), ("row_a", "row_b"), strict=True)))
-    joined = keyed.join(removed.select(F.col("row_a").alias("__row_a"), F.col("row_b").alias("__row_b"), "__removed"), ["__row_a", "__row_b"], "left")
-    parts = F.split(F.col(f"`{text}`"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed"))
-    clean = F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
-    counted = joined.withColumn("lines_before", F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts)))
-    counted = counted.withColumn("lines_removed", F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")))
-    return counted.withColumn(text, clean).drop("__row_a", "__row_b", "__removed")
+    removed = hits.groupBy("row_a", "row_b").agg(F.collect_set("line_no").alias("removed"))
+    # every column of docs travels as one struct, so none of its names can clash with what is added
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_row(doc_id, text))
+    joined = keyed.join(removed, ["row_a", "row_b"], "left")
+    own = lambda c: F.col("row").getField(c)
+    parts = F.split(own(text), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
+    clean = F.when(F.col("removed").isNull(), own(text)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
+    before = F.when(own(text).isNull(), 0).otherwise(F.size(parts)).alias("lines_before")
+    gone = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("lines_removed")
+    rest = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
+    return joined.select(*((clean if c == text else own(c)).alias(c) for c in rest), before, gone)

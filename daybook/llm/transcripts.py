@@ -7,11 +7,13 @@ length. Viterbi decoding gives the most likely states, and with them turns, whic
 Lines lie in order in the partitions of a range sort, which may cut a transcript anywhere. A stretch of lines acts on
 scores as a matrix (max, plus), and matrices of stretches can be combined in order: the first pass sends one matrix for each
 transcript that a partition's edge cuts, the driver combines these (two for each partition at most) and finds the states at
-the cuts, and the second pass decodes every stretch between known ends. So no transcript has to fit one task.
+the cuts, and the second pass decodes every stretch between known ends. Turns are numbered in the same way: within a
+stretch, then by what the stretches before it hold. So no transcript has to fit one task, and a partition has about
+`LINES_A_PART` lines whatever the input's size.
 
 Cases: null and empty texts are lines without letters; a null conversation id is a conversation of its own; lines that tie
-in their order are put by text; repeated rows are repeated lines; an empty table gives an empty one; other columns are left
-out.
+in their order are put by text; repeated rows are repeated lines; lines of any length are taken whole; an empty table gives
+an empty one; other columns are left out, so that their names can't clash.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import written
+from daybook.llm.common import discard, written
 
 ROLES = ("system", "user", "assistant")
 #: States: 2 * role + (0: first line of a turn, 1: a later one).
@@ -43,6 +45,8 @@ MARKER = re.compile(r"^\s*(?:<\|(?:im_start\|>)?\s*|\[|\*\*|#{1,4}\s*|>\s*)?(?P<
 BARE = re.compile(r"^\s*(?:<\|im_start\|>\s*|#{1,4}\s+)(?P<name>\w+)\s*:?\s*$")
 CLOSING = re.compile(r"\s*<\|(?:im_end|end|endoftext|eot_id)\|>\s*$")
 NONE, UNKNOWN = 0, len(ROLES) + 1
+#: Lines that a partition has at about; more partitions are made for more lines.
+LINES_A_PART = 100_000
 
 
 def read_marker(line: str) -> tuple[int, str]:
@@ -150,13 +154,14 @@ def _stretches(part: pd.DataFrame) -> list[Stretch]:
 
 
 def parse_transcripts(lines: DataFrame, conv: str = "conv_id", order: tuple[str, str] = ("turn", "line"), text: str = "text", hmm: Hmm | None = None) -> DataFrame:
-    """conv_id, position, turn and line (as given), role, first (begins a turn), content (the line without its marker)."""
+    """conv_id, position, turn and line (as given), role, first (begins a turn), turn_no (from 0 in the conversation), content
+    (the line without its marker)."""
     hmm = hmm or Hmm.usual()
     spark = lines.sparkSession
     rows = lines.select(F.col(f"`{conv}`").alias("conv"), *(F.col(f"`{c}`").cast("long").alias(n) for c, n in zip(order, ("turn", "line"), strict=True)), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["conv"].dataType.simpleString()
     keys = ["conv", "turn", "line", F.xxhash64("text")]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LINES_A_PART))
     placed = rows.repartitionByRange(parts, *keys).sortWithinPartitions("conv", "turn", "line", "text")
     placed = written(placed.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("position")), "transcript-lines")
 
@@ -188,7 +193,8 @@ def parse_transcripts(lines: DataFrame, conv: str = "conv_id", order: tuple[str,
     def decode(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         stretches = _stretches(part)
-        given = shared.value.get(int(part["part"].iloc[0]), {})
+        number = int(part["part"].iloc[0])
+        given = shared.value.get(number, {})
         for k, s in enumerate(stretches):
             before, blank, last = None, True, None
             if k == 0:
@@ -196,13 +202,34 @@ def parse_transcripts(lines: DataFrame, conv: str = "conv_id", order: tuple[str,
             if k == len(stretches) - 1:
                 last = given.get("last")
             states = viterbi(hmm, s.scores(hmm, blank), before, last)
+            begun = -1
+            edge = 0 if before is not None else 2 if k < len(stretches) - 1 else 1  # goes on from the part before, may go on, neither
             for (turn, line), text, state in zip(s.order, s.texts, states, strict=True):
-                out.append((s.conv, turn, line, ROLES[state // 2], state % 2 == 0, CLOSING.sub("", read_marker(text)[1])))
-        frame = pd.DataFrame(out, columns=["conv_id", "turn", "line", "role", "first", "content"])
+                begun += state % 2 == 0
+                out.append((s.conv, turn, line, ROLES[state // 2], state % 2 == 0, begun, number, edge, CLOSING.sub("", read_marker(text)[1])))
+        frame = pd.DataFrame(out, columns=["conv_id", "turn", "line", "role", "first", "begun", "part", "edge", "content"])
         frame["position"] = np.sort(part["position"].to_numpy())
-        return frame[["conv_id", "position", "turn", "line", "role", "first", "content"]]
-
-    return placed.groupBy("part").applyInPandas(decode, f"conv_id {kind}, position long, turn long, line long, role string, first boolean, content string")
+        return frame[["conv_id", "position", "turn", "line", "role", "first", "begun", "part", "edge", "content"]]
+
+    decoded = written(placed.groupBy("part").applyInPandas(decode, f"conv_id {kind}, position long, turn long, line long, role string, first boolean, begun long, part int, edge int, content string"), "transcript-states")
+    discard(placed)
+    # two rows at most for each partition: how many turns begin in the stretch that goes on from the part before, and in the last
+    held = decoded.where("edge < 2").groupBy("part", "edge").agg(F.sum(F.col("first").cast("long")).alias("n")).collect()
+    heads = spark.createDataFrame(_heads({(r.part, r.edge): r.n for r in held}), "part int, edge int, head long")
+    numbered = decoded.join(F.broadcast(heads), ["part", "edge"], "left").withColumn("turn_no", F.col("begun") + F.coalesce("head", F.lit(0)))
+    return numbered.select("conv_id", "position", "turn", "line", "role", "first", "turn_no", "content")
+
+
+def _heads(held: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
+    """(part, 0, turns before it in the same conversation) for parts whose first lines go on from the part before."""
+    out, total = [], 0
+    for part in sorted({p for p, _ in held}):
+        if (part, 0) in held:
+            out.append((part, 0, total))
+            total += held[(part, 0)]
+        if (part, 1) in held:
+            total = held[(part, 1)]
+    return out
 
 
 def _cuts(rows: list) -> dict[int, dict]:
@@ -215,8 +242,7 @@ def _cuts(rows: list) -> dict[int, dict]:
     i = 0
     while i < len(order):
         chain = [order[i]]  # partitions that one conversation runs through
-        while chain[-1] != order[-1]:
-            after = order[order.index(chain[-1]) + 1]
+        for after in order[i + 1 :]:
             if parts[chain[-1]][1].conv != parts[after][0].conv or (len(chain) > 1 and not parts[chain[-1]][0].whole):
                 break
             chain.append(after)
@@ -233,8 +259,6 @@ def _cuts(rows: list) -> dict[int, dict]:
             for p, back, was in zip(chain[:0:-1], backs[::-1], steps[::-1], strict=True):
                 if parts[p][0].whole:
                     out.setdefault(p, {})["last"] = state
-                else:
-                    out.setdefault(p, {})["end_of_first"] = state
                 state = int(back[state])
                 out.setdefault(p, {})["before"] = (state, was)
             out.setdefault(chain[0], {})["last"] = state
@@ -246,11 +270,7 @@ def _cuts(rows: list) -> dict[int, dict]:
 
 def turns(parsed: DataFrame) -> DataFrame:
     """conv_id, turn_no (from 0), role, n_lines and content of each turn of parsed lines."""
-    from pyspark.sql.window import Window
-
-    by = Window.partitionBy("conv_id").orderBy("position")
-    numbered = parsed.withColumn("turn_no", F.sum(F.col("first").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    grouped = numbered.groupBy("conv_id", "turn_no").agg(F.min_by("role", "position").alias("role"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("position", "content"))).alias("parts"))
+    grouped = parsed.groupBy("conv_id", "turn_no").agg(F.min_by("role", "position").alias("role"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("position", "content"))).alias("parts"))
     return grouped.select("conv_id", "turn_no", "role", "n_lines", F.trim(F.array_join(F.transform("parts", lambda p: p["content"]), "\n")).alias("content"))
 
 

@@ -3,14 +3,14 @@
 Texts are sequences of words. One suffix array holds the suffixes of a whole batch of texts (a word counts as equal only
 within its text): ranks double in length while any are tied, and the ranks of all lengths give the longest common prefix
 of neighbours. The longest prefix that a suffix shares with a neighbour is the longest maximal repeat that begins there.
-The union of these spans, from `min_repeat` words on, must not cover more than `most_covered` of the characters in
-words, and none may be longer than `most_words`.
+The union of these spans, from `min_repeat` words on, must not cover more than `most_covered` of the words' bytes (UTF-8),
+and none may be longer than `most_words`.
 
 Beside this verdict stand the base counts: characters in words, symbols, repeated lines, and words in 5-word windows
 that occur twice or more (the union of all maximal repeats of five words or more).
 
 Cases: a null text counts as empty; a text without words fails the base rule; ids may be null or repeat, each row is
-judged by itself; texts of any length are judged whole; other columns are left out.
+judged by itself; texts of any length are judged whole; an empty table gives an empty one; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from daybook.llm.byte_bpe import packed
-from daybook.llm.common import id_and_text
+from daybook.llm.common import id_and_text, small_batches
 
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
@@ -31,7 +31,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 
 @dataclass(frozen=True)
 class Limits:
-    """min_repeat: words from which a repeat counts; most_covered: share of characters; most_words: longest repeat."""
+    """min_repeat: words from which a repeat counts; most_covered: share of bytes in words; most_words: longest repeat."""
 
     min_repeat: int = 8
     most_covered: float = 0.3
@@ -152,3 +152,16 @@ def judge_quality(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, out.values())], ["doc_id", *out])
 
     return id_and_text(docs, doc_id, text).mapInArrow(run, JUDGED)
+
+
+def keep_sound(docs: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with all their columns: each row is judged where it lies, nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, bounds in packed(batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(judge(data, bounds, limits)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

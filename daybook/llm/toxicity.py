@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, most_toxic: int = 3
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["feature", "n"])
 
     frequent = rows.where("toxic = 1").select("doc_id", "toxic", "text").mapInArrow(counted, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
-    candidates = {r.feature: k for k, r in enumerate(sorted(frequent.collect(), key=lambda r: r.feature))}  # of the bounded sample only
+    candidates = {f: k for k, f in enumerate(sorted(frequent.select("feature").toArrow().column(0).to_pylist()))}  # of the bounded sample only
     shared = spark.sparkContext.broadcast(candidates)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

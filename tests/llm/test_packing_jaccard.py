@@ -14,7 +14,6 @@ from daybook.llm.components import components
 def test_packing_of_a_table(spark):
     d = "/root/testdata/sf0.001"
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     ids = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for k, t in texts.items()}
     rows = queries.op4_packing(spark, d).collect()
@@ -69,6 +68,25 @@ def test_packing_units_and_edge_cases(spark):
         packing.pack(docs, P.path("byte_bpe_50k.json"), tiers=(100, 2048))
 
 
+def test_packing_reads_added_tokens_as_the_library(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext|", "plain", "", "é <|endoftext|>\n\n x"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    check_pieces(packing.pack(docs, P.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).collect(), ids)
+
+
+def test_packing_with_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (None, "one two"), (7, "one two"), (7, "one two"), (7, "three " * 5000)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, offset int, tier string")
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    sizes = sorted(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    out = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r.length for r in out) == sum(sizes)
+    assert sum(r.length for r in out if r.doc_id is None) == 2 * sizes[0]
+    assert sorted(r.doc_tokens for r in out if r.start == 0) == sizes
+
+
 def shingles(text, k):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]
@@ -143,6 +161,42 @@ def test_jaccard_edge_cases(spark):
     assert jaccard_join.link_documents(docs.limit(0), 3, 90, 100).count() == 0
 
 
+def test_jaccard_of_long_texts(spark):
+    """Sets of very different and of large sizes: their parities have more cells, which are folded to compare them."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (520, 1030, 2040, 9000):
+        base = [rng.choice(words) for _ in range(size)]
+        for share in (0, 0.01, 0.03, 0.06, 0.1, 0.2):
+            copy = list(base)
+            for _ in range(int(share * size)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts += [" ".join(copy), " ".join(copy[: int(size * 0.97)]), " ".join(copy + copy[:40])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for k, num in ((3, 90), (1, 50)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs, k, num, 100).collect()}
+        assert got == brute(dict(enumerate(texts)), k, num, 100)
+
+
+def test_a_hot_n_gram_is_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CLASSES_A_TASK", 4)
+    rng = random.Random(9)
+    texts = [" ".join(["same", *rng.sample("abcdefghijkl", rng.randrange(1, 5))]) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs, 1, 60, 100).collect()}
+    assert got == brute(dict(enumerate(texts)), 1, 60, 100)
+
+
+def test_folded_parities(spark):
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    wide = jaccard_join._parities(hashes)
+    narrow = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1
+    row = spark.createDataFrame([(wide.tolist(),)], "p array<long>").select(jaccard_join._folded(F.col("p"), F.lit(8)).alias("q")).first()
+    assert np.array_equal(np.unpackbits(np.array(row.q, "<i8").view(np.uint8), bitorder="little"), narrow)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

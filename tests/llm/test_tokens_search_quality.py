@@ -135,6 +135,61 @@ def test_top_k_with_few_or_large_values(spark):
     assert vector_search.top_k(docs.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_with_repeated_rows(spark):
+    """A repeated row is a candidate as often as it is there; each row of a query id has results of its own; other columns
+    and empty vectors do no harm."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8)).round(2)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(40)] + [(0, [float(v) for v in x[0]]), (3, [float(v) for v in x[3]]), (90, []), (91, []), (90, [])]
+    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<double>, rank int, score string").repartition(3)
+    got = {}
+    for r in vector_search.top_k(docs, F.col("vec_id").isin(0, 90), k=5, block=16, query_block=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    w = np.floor(1024 * x).astype(np.int64) @ np.floor(1024 * x[0]).astype(np.int64)
+    best = sorted([i for i in range(1, 40)] + [3], key=lambda i: (-w[i], i))[:5]
+    assert sorted(got[0]) == sorted([(k + 1, i, w[i]) for k, i in enumerate(best)] * 2)
+    assert sorted(got[90]) == [(1, 91, 0)] * 2
+
+
+def test_top_k_bounds_never_lose(spark):
+    """Blocks of clustered vectors: levels drop most pairs, and what is left is what brute force finds."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 32)) * 10
+    x = np.floor(1024 * (centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 32))))
+    q = vector_search.Block(np.arange(50), x[:50])
+    best = vector_search.Best(q, 10)
+    for i in range(0, 3000, 500):
+        best.meet(vector_search.Block(np.arange(i, min(i + 500, 3000)), x[i : i + 500]))
+    exact = x[:50] @ x.T
+    for k in range(50):
+        exact[k, k] = -np.inf
+        want = sorted(range(3000), key=lambda j: (-exact[k, j], j))[:10]
+        assert best.found[1][best.found[0] == k].tolist() == want
+    for n in vector_search.levels(32):
+        assert (q.stats(n) @ vector_search.Block(np.arange(3000), x).stats(n).T >= x[:50] @ x.T - 1e-3).all()
+
+
+def test_token_counts_edge_cases(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, "x\ny"), (1, "x\ny"), (2, "word " * 40_000), (3, None)]
+    docs = spark.createDataFrame([(*r, 9, "z") for r in rows], "doc_id long, text string, section int, n_tokens string")
+    theirs, got = library(RANKS), {}
+    for r in token_counts.count_tokens(docs, RANKS).collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.n_tokens))
+    assert got[None] == [(0, 2)] * 2 and sorted(s for s, _ in got[1]) == [0, 0, 1, 1]
+    assert got[2] == [(0, len(theirs.encode_ordinary(rows[4][1])))] and got[3] == [(0, 0)]
+    assert token_counts.count_tokens(docs.limit(0), RANKS).count() == 0
+
+
+def test_op1_on_a_table(spark):
+    d = "/root/testdata/sf0.001"
+    theirs = library(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {}
+    for r in queries.op1_token_counts(spark, d).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+    assert got == {i: len(theirs.encode_ordinary(t)) for i, t in texts.items()}
+
+
 def plain_quality(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
     windows = {}
@@ -171,3 +226,15 @@ def test_quality_verdict(spark):
     passage = " ".join(rng.sample(words, 70))
     docs = spark.createDataFrame([(1, clean), (2, f"{clean} {passage} x {passage}"), (3, clean.replace(" ", "\n"))], "doc_id long, text string")
     assert {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.judge_quality(docs).collect()} == {1: (False, True), 2: (False, False), 3: (False, True)}
+
+
+def test_quality_edge_cases(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**9)}" for _ in range(60_000))
+    rows = [(1, long), (2, "same " * 50_000), (3, long), (3, long), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_words string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in quality_rules.judge_quality(docs).collect()))
+    assert got == [(0, 0, True, False), (1, 60_000, False, True), (2, 50_000, True, False), (3, 60_000, False, True), (3, 60_000, False, True)]
+    kept = quality_rules.keep_sound(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 3]
+    assert quality_rules.judge_quality(docs.limit(0)).count() == 0 == quality_rules.keep_sound(docs.limit(0)).count()

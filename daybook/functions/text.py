@@ -124,5 +124,6 @@ def fold(line: Column, width: int = FOLD_WIDTH, ending: str = "\r\n") -> Column:
     each.__annotations__ = {"lines": pd.Series, "return": pd.Series}  # as objects, which pandas_udf reads
     exact = F.pandas_udf(each, "string")
 
-    plain = line.rlike(r"\A[\x00-<>-\x7f]*\z")
-    return F.when(F.octet_length(line) <= width, F.concat(line, F.lit(ending))).when(plain, fold_plain(line, width, ending)).otherwise(exact(line))
+    plain, short = line.rlike(r"\A[\x00-<>-\x7f]*\z"), F.octet_length(line) <= width
+    left = exact(F.when(~short & ~plain, line))  # Spark works a Python function out for every row, here mostly for nulls
+    return F.when(short, F.concat(line, F.lit(ending))).when(plain, fold_plain(line, width, ending)).otherwise(left)

@@ -113,24 +113,45 @@ def zone_warnings(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _last(transitions: Column, key: str, at: Column) -> Column:
-    """The last transition whose key isn't after `at`; null before all."""
-    n = F.size(F.filter(transitions, lambda t: t[key] <= at))
-    return F.get(transitions, n - 1)
+    """The last transition whose key isn't after `at`; null before all. Nine halvings of an index find it among 512, and as
+    many more as the array is longer: the array itself is never walked."""
+
+    def found(x: Column) -> Column:
+        rows, when = x["rows"], x["at"]
+        reach = F.ceil(F.log2(F.size(rows) + F.lit(1))).cast("int")
+
+        def halve(span: Column, _: Column) -> Column:
+            middle = F.floor((span["a"] + span["b"]) / 2).cast("int")
+            after = F.get(rows, middle)[key] > when
+            grown = F.struct(F.when(after, span["a"]).otherwise(middle + 1).alias("a"), F.when(after, middle).otherwise(span["b"]).alias("b"))
+            return F.when(span["a"] < span["b"], grown).otherwise(span)
+
+        begin = F.struct(F.lit(0).alias("a"), F.size(rows).alias("b"))
+        return F.when(F.size(rows) > 0, F.get(rows, F.aggregate(F.sequence(F.lit(1), reach), begin, halve)["a"] - 1))
+
+    return columns.bind(F.struct(transitions.alias("rows"), at.alias("at")), found)
 
 
 def offset_at_wall(transitions: Column, wall: Column, fold: int = 0) -> Column:
     """struct(offset_s, dst_s, name) that a wall time has."""
-    found = _last(transitions, f"fold{fold}", columns.epoch(wall))
-    return F.struct(F.coalesce(found["after_s"], F.get(transitions, 0)["before_s"]).alias("offset_s"), F.coalesce(found["dst_s"], F.lit(0)).alias("dst_s"), found["name"].alias("name"))
+
+    def shown(t: Column) -> Column:
+        return F.struct(F.coalesce(t["after_s"], F.get(transitions, 0)["before_s"]).alias("offset_s"), F.coalesce(t["dst_s"], F.lit(0)).alias("dst_s"), t["name"].alias("name"))
+
+    return columns.bind(_last(transitions, f"fold{fold}", columns.epoch(wall)), shown)
 
 
 def from_utc(transitions: Column, instant: Column) -> Column:
     """struct(wall, fold): the wall time of an instant, and whether it is the second of its kind."""
-    at = columns.epoch(instant)
-    found = _last(transitions, "at", at)
-    offset = F.coalesce(found["after_s"], F.get(transitions, 0)["before_s"])
-    fold = F.when((found["shrink"] > 0) & (at - found["at"] < found["shrink"]), 1).otherwise(0)
-    return F.struct(columns.from_epoch(at + offset).alias("wall"), fold.alias("fold"))
+
+    def placed(x: Column) -> Column:
+        t, at = x["t"], x["at"]
+        offset = F.coalesce(t["after_s"], F.get(transitions, 0)["before_s"])
+        fold = F.when((t["shrink"] > 0) & (at - t["at"] < t["shrink"]), 1).otherwise(0)
+        return F.struct(columns.from_epoch(at + offset).alias("wall"), fold.alias("fold"))
+
+    with_last = lambda at: F.struct(_last(transitions, "at", at).alias("t"), at.alias("at"))
+    return columns.bind(columns.bind(columns.epoch(instant), with_last), placed)
 
 
 def resolve(times: DataFrame, zones: DataFrame, keys: list[str], host_zones: DataFrame, wall: str = "wall", tzid: str = "tzid") -> DataFrame:

@@ -31,8 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stamp(wall) -> F.Column:
-    return F.date_format(wall, "yyyy-MM-dd HH:mm:ss")
+stamp = columns.shown
 
 
 # Reading.
@@ -45,13 +44,13 @@ def parse_events_by_month(spark, d):
     docs = render.calendars_of_customers(table(spark, d, "orders"))
     starts = wire.native_properties(docs).where("name_uc = 'DTSTART' AND comp_name = 'VEVENT'")
     wall = columns.parse_datetime(F.col("value"))["wall"]
-    return starts.groupBy(F.date_format(wall, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_events"))
+    return starts.groupBy(stamp(wall, 7).alias("month")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
 @query(BY_MONTH)
 def parse_lenient_by_month(spark, d):
     events = views.events(wire.parse_documents(render.calendars_of_customers(table(spark, d, "orders"))))
-    return events.groupBy(F.date_format("start.wall", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_events"))
+    return events.groupBy(stamp(F.col("start.wall"), 7).alias("month")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
 @query("SELECT o_custkey AS doc_id, count(*) AS n_events, 1 AS n_roots, 2 + 3 * count(*) AS n_properties FROM orders GROUP BY 1")
@@ -256,7 +255,7 @@ def todos_and_alarms(spark, d):
     todo = F.concat(F.lit("BEGIN:VTODO\r\nDTSTART:"), columns.format_datetime(F.col("o_orderdate")), F.lit("\r\nPRIORITY:"), (F.col("o_orderkey") % 7).cast("string"), F.lit("\r\n"), due, F.lit("\r\n"), alarm, F.lit("END:VTODO\r\n"))
     parsed = wire.parse_documents(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), render.calendar(todo).alias("content")))
     held = views.alarms(parsed).select("doc_id", F.col("parent_id").alias("comp_id"), "action", "trigger_seconds")
-    return views.todos(parsed).join(held, ["doc_id", "comp_id"]).select("doc_id", "action", "trigger_seconds", "priority", F.date_format("due", "yyyy-MM-dd").alias("due"))
+    return views.todos(parsed).join(held, ["doc_id", "comp_id"]).select("doc_id", "action", "trigger_seconds", "priority", stamp(F.col("due"), 10).alias("due"))
 
 
 @query("SELECT o_custkey % 10 AS bucket, count(*) * 2 AS n_periods, CAST(sum(5400 + 1800) AS BIGINT) AS seconds FROM orders GROUP BY 1")
@@ -285,7 +284,7 @@ def _series(spark, d, rule, start=None, most=None):
 
 
 def _summary(occurrences):
-    return occurrences.groupBy("o_orderkey").agg(F.count("wall").alias("n"), F.date_format(F.min("wall"), "yyyy-MM-dd HH:mm").alias("first"), F.date_format(F.max("wall"), "yyyy-MM-dd HH:mm").alias("last"))
+    return occurrences.groupBy("o_orderkey").agg(F.count("wall").alias("n"), stamp(F.min("wall"), 16).alias("first"), stamp(F.max("wall"), 16).alias("last"))
 
 
 FORM = "'%Y-%m-%d %H:%M'"
@@ -401,7 +400,7 @@ def rscale_calendars(spark, d):
     rules = {"backward": ("RSCALE=GREGORIAN;FREQ=MONTHLY;SKIP=BACKWARD;COUNT=4", "20140131"), "forward": ("RSCALE=GREGORIAN;FREQ=MONTHLY;SKIP=FORWARD;COUNT=4", "20140131"), "ethiopic": ("RSCALE=ETHIOPIC;FREQ=YEARLY;BYMONTH=13;BYMONTHDAY=-1;COUNT=6", "20140910"), "chinese": ("RSCALE=CHINESE;FREQ=MONTHLY;COUNT=4", "20140920")}
     each = spark.createDataFrame([(k, *v) for k, v in rules.items()], "label string, rule string, dtstart string")
     rows = table(spark, d, "region").select("r_regionkey").join(F.broadcast(each))
-    found = recurrence.expand(rows).groupBy("r_regionkey", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list("wall")), lambda w: F.date_format(w, "yyyy-MM-dd")), " ").alias("days"))
+    found = recurrence.expand(rows).groupBy("r_regionkey", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list("wall")), lambda w: stamp(w, 10)), " ").alias("days"))
     return found.groupBy("r_regionkey").pivot("label", list(rules)).agg(F.first("days"))
 
 
@@ -431,7 +430,7 @@ def zone_wall_to_utc(spark, d):
 def expand_dst_zurich(spark, d):
     each = spark.createDataFrame([("gap", "FREQ=DAILY;UNTIL=20230327T003000Z", "20230325T023000"), ("overlap", "FREQ=DAILY;COUNT=3", "20231028T023000")], "label string, rule string, dtstart string")
     rows = table(spark, d, "region").select("r_regionkey", F.lit("Europe/Zurich").alias("tzid")).join(F.broadcast(each))
-    found = recurrence.expand_zoned(rows).groupBy("r_regionkey", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("wall", "instant_utc"))), lambda x: F.date_format(x["instant_utc"], "yyyy-MM-dd HH:mm:ss")), "|").alias("t"))
+    found = recurrence.expand_zoned(rows).groupBy("r_regionkey", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("wall", "instant_utc"))), lambda x: stamp(x["instant_utc"])), "|").alias("t"))
     return found.groupBy("r_regionkey").pivot("label", ["gap", "overlap"]).agg(F.first("t"))
 
 

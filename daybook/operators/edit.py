@@ -41,11 +41,18 @@ def set_url(parsed: DataFrame, component: str, value: Column) -> DataFrame:
     return _edit(parsed, component, "URL", safe, lambda p: p)
 
 
+def set_uid(parsed: DataFrame, component: str, value: Column) -> DataFrame:
+    return set_text(parsed, component, "UID", value)
+
+
+def set_status(parsed: DataFrame, component: str, value: Column) -> DataFrame:
+    return set_text(parsed, component, "STATUS", value)
+
+
 def set_rule(parsed: DataFrame, component: str, value: Column) -> DataFrame:
-    """A recurrence rule; one that has no frequency, or both an end and a count, fails the job."""
-    up = F.upper(value)
-    sound = up.rlike(r"(\A|;)FREQ=(SECONDLY|MINUTELY|HOURLY|DAILY|WEEKLY|MONTHLY|YEARLY)(;|\z)") & ~(up.rlike(r"(\A|;)UNTIL=") & up.rlike(r"(\A|;)COUNT="))
-    return _edit(parsed, component, "RRULE", F.when(sound, value).otherwise(F.raise_error(F.concat(F.lit("invalid rule "), value))), lambda p: p)
+    """A recurrence rule; a text that isn't one fails the job."""
+    checked = F.when(value.isNull() | columns.is_rule(value), value).otherwise(F.raise_error(F.concat(F.lit("invalid rule "), value)))
+    return _edit(parsed, component, "RRULE", checked, lambda p: p)
 
 
 def set_datetime(parsed: DataFrame, component: str, name: str, wall: Column, zone: Column | None = None, is_date: Column | None = None) -> DataFrame:
@@ -64,6 +71,23 @@ def set_datetime(parsed: DataFrame, component: str, name: str, wall: Column, zon
     return _edit(parsed, component, name, value, params)
 
 
+def set_start(parsed: DataFrame, component: str, wall: Column, zone: Column | None = None, is_date: Column | None = None) -> DataFrame:
+    return set_datetime(parsed, component, "DTSTART", wall, zone, is_date)
+
+
+def set_end(parsed: DataFrame, component: str, wall: Column, zone: Column | None = None, is_date: Column | None = None) -> DataFrame:
+    return set_datetime(parsed, component, "DTEND", wall, zone, is_date)
+
+
+def set_due(parsed: DataFrame, wall: Column, zone: Column | None = None, is_date: Column | None = None) -> DataFrame:
+    return set_datetime(parsed, "VTODO", "DUE", wall, zone, is_date)
+
+
+def set_instant(parsed: DataFrame, component: str, name: str, wall: Column, offset_s: Column) -> DataFrame:
+    """A time of a clock that has an offset from UTC but no zone's name: it is written in UTC, so the instant never changes."""
+    return set_datetime(parsed, component, name, columns.add_seconds(wall, -offset_s), F.lit("UTC"))
+
+
 def add_component(parsed: DataFrame, component: str, props: list[tuple[str, Column]], parent: str) -> DataFrame:
     """A component at the end of the first `parent`, with properties (name, raw value)."""
     parent_id = F.get(F.filter("components", lambda c: c["name_uc"] == parent.upper()), 0)["comp_id"]

@@ -6,7 +6,11 @@ a count over its array: no range join, no window over the events.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+from functools import lru_cache
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,9 +21,11 @@ from pyspark.sql.window import Window
 from daybook.functions import columns
 from daybook.functions.recurrence import parse_instant, parse_rule, plan
 from daybook.operators import views
+from daybook.operators.emit import Node, document_to_wire, flattened, trees
+from daybook.sources.wire import PARSED, arrays_of
 
 TRANSITION = "struct<at:bigint,fold0:bigint,fold1:bigint,before_s:int,after_s:int,dst_s:int,name:string,shrink:int>"
-ONSETS_A_YEAR = 60
+ONSETS_A_YEAR, LEAST_HORIZON = 60, 2050
 
 
 def observances(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,8 +47,8 @@ def observances(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return part.join(zone, [*keys, "zone_no"])
 
 
-def onsets(parts: DataFrame, horizon: int) -> DataFrame:
-    """parts with `wall`: the start, RDATEs and occurrences of the rule up to the end of the horizon year, each once."""
+def onsets(parts: DataFrame) -> DataFrame:
+    """parts with `wall_s`: the start, RDATEs and occurrences of the rule up to the end of the year `horizon`, each once."""
     kept = parts.columns
     schema = T.StructType([*parts.schema.fields, T.StructField("wall_s", T.LongType())])
 
@@ -50,6 +56,7 @@ def onsets(parts: DataFrame, horizon: int) -> DataFrame:
         for batch in batches:
             at, walls = [], []
             for k, (start, rule, rdates) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("dtstart", "rule", "rdates")), strict=True)):
+                horizon = batch.column("horizon")[k].as_py()
                 try:
                     first = parse_instant(start or "")
                     found = {(first[0], first[1] or 0), *((d, s or 0) for d, s, _ in map(parse_instant, (x.strip() for x in rdates or ())))}
@@ -74,15 +81,28 @@ def onsets(parts: DataFrame, horizon: int) -> DataFrame:
     return parts.mapInArrow(run, schema)
 
 
-def transition_tables(parsed: DataFrame, keys: list[str], horizon: int = 2060) -> DataFrame:
+def horizons(parsed: DataFrame) -> Column:
+    """The last year of a document's zone tables: ten years past the latest date that its values name, LEAST_HORIZON at least.
+    It depends on the document alone, neither on others nor on today's date."""
+    years = F.transform("properties", lambda p: F.array_max(F.transform(F.regexp_extract_all(p["value"], F.lit(r"(?:^|[^0-9])(\d{4})\d{4}(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))))
+    return F.least(F.greatest(F.coalesce(F.array_max(years), F.lit(0)) + 10, F.lit(LEAST_HORIZON)), F.lit(9999))
+
+
+def _sound() -> Column:
+    timed = F.col("dtstart").rlike("[Tt]") & columns.parse_datetime(F.col("dtstart")).isNotNull()
+    return F.coalesce(timed & F.col("offset_from").isNotNull() & F.col("offset_to").isNotNull() & (F.col("rule").isNull() | columns.is_rule(F.trim("rule"))), F.lit(False))
+
+
+def transition_tables(parsed: DataFrame, keys: list[str], horizon: int | None = None) -> DataFrame:
     """keys, tzid, transitions (sorted by instant). Of several definitions of a zone the first stays; definitions with a part
-    that isn't complete make no zone (see `zone_warnings`)."""
-    parts = observances(parsed, keys)
-    whole = F.col("dtstart").isNotNull() & F.col("offset_from").isNotNull() & F.col("offset_to").isNotNull()
+    that isn't complete make no zone (see `zone_warnings`). horizon: the last year of all tables; else see `horizons`."""
+    last = horizons(parsed) if horizon is None else F.lit(horizon)
+    parts = observances(parsed.withColumn("horizon", last), [*keys, "horizon"])
+    whole = _sound()
     by_zone = Window.partitionBy(*keys, "zone_no")
     sound = parts.withColumn("__ok", F.min(whole.cast("int")).over(by_zone)).where("__ok = 1 AND tzid IS NOT NULL").drop("__ok")
     first = sound.groupBy(*keys, "tzid").agg(F.min("zone_no").alias("zone_no"))
-    each = onsets(sound.join(first, [*keys, "tzid", "zone_no"]), horizon)
+    each = onsets(sound.join(first, [*keys, "tzid", "zone_no"]))
     at = F.col("wall_s") - F.col("offset_from")
     dst = F.when(F.col("kind") == "DAYLIGHT", F.greatest(F.col("offset_to") - F.col("offset_from"), F.lit(0))).otherwise(0)
     rows = each.select(*keys, "tzid", at.alias("at"), "offset_from", F.col("offset_to").alias("after_s"), dst.alias("dst_s"), F.coalesce("tzname", "tzid").alias("name"))
@@ -106,10 +126,19 @@ def transition_tables(parsed: DataFrame, keys: list[str], horizon: int = 2060) -
 
 
 def zone_warnings(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """Definitions that make no zone."""
-    parts = observances(parsed, keys)
-    bad = F.col("dtstart").isNull() | F.col("offset_from").isNull() | F.col("offset_to").isNull()
-    return parts.where(bad).select(*keys, "tzid", F.lit("malformed VTIMEZONE skipped").alias("warning")).distinct()
+    """keys, tzid, warning: definitions that make no zone, and zones that values name but neither the host nor the document
+    knows."""
+    broken = observances(parsed, keys).where(~_sound()).select(*keys, "tzid", F.concat(F.lit("ignoring malformed VTIMEZONE '"), F.coalesce("tzid", F.lit("")), F.lit("'")).alias("warning"))
+    made = transition_tables(parsed, keys).select(*keys, "tzid")
+    bare = F.regexp_replace("tzid", "^/+", "")
+    used = used_spans(parsed, keys).where(views.host_zone(F.col("tzid")).isNull()).select(*keys, "tzid")
+    known = made.union(made.select(*keys, F.concat(F.lit("/"), "tzid")))
+    unknown = used.join(known, [*keys, "tzid"], "left_anti").join(made.select(*keys, F.col("tzid").alias("__bare")), [*(used[k].eqNullSafe(made[k]) for k in keys), bare == F.col("__bare")], "left_anti")
+    return broken.union(unknown.select(*keys, "tzid", _unresolved(F.col("tzid")))).distinct()
+
+
+def _unresolved(tzid: Column) -> Column:
+    return F.concat(F.lit("TZID '"), tzid, F.lit("' is not a known timezone and no VTIMEZONE in the document defines it; interpreting as naive local time")).alias("warning")
 
 
 def _last(transitions: Column, key: str, at: Column) -> Column:
@@ -154,26 +183,36 @@ def from_utc(transitions: Column, instant: Column) -> Column:
     return columns.bind(columns.bind(columns.epoch(instant), with_last), placed)
 
 
-def resolve(times: DataFrame, zones: DataFrame, keys: list[str], host_zones: DataFrame, wall: str = "wall", tzid: str = "tzid") -> DataFrame:
-    """times with instant_utc and source: the host's zone of that name (a leading slash aside), else the document's, else
-    none and a warning. host_zones: column zone, a bounded list that is broadcast."""
-    bare = F.regexp_replace(F.col(tzid), "^/", "")
-    known = times.withColumn("__bare", bare).join(F.broadcast(host_zones.select(F.col("zone").alias("__host")).distinct()), F.col("__bare") == F.col("__host"), "left")
-    own = zones.select(*keys, F.col("tzid").alias("__tzid"), "transitions")
-    exact = known.join(own, [*(known[k].eqNullSafe(own[k]) for k in keys), known[tzid] == own["__tzid"]], "left").drop(*(own[k] for k in keys)).drop("__tzid")
-    offset = offset_at_wall(F.col("transitions"), F.col(wall))["offset_s"]
-    instant = F.when(F.col("__host").isNotNull(), F.convert_timezone(F.col("__host"), F.lit("UTC"), F.col(wall))).when(F.col("transitions").isNotNull(), columns.add_seconds(F.col(wall), -offset))
-    source = F.when(F.col("__host").isNotNull(), "host").when(F.col("transitions").isNotNull(), "document").otherwise("unresolved")
-    return exact.withColumn("instant_utc", instant).withColumn("source", source).drop("__bare", "__host", "transitions")
+def resolve(times: DataFrame, zones: DataFrame, keys: list[str], wall: str = "wall", tzid: str = "tzid", host=views.host_zone) -> DataFrame:
+    """times with instant_utc, source and warning: the host's zone of that name (slashes before it aside), else the document's
+    of that very name, else the document's of the name without slashes, else none and a warning. host: the zone that a name
+    stands for among the host's, as a function of a column. Joins are on keys and names; nothing is broadcast."""
+    bare = F.regexp_replace(F.col(tzid), "^/+", "")
+    known = columns.step(times, __bare=bare, __host=host(F.col(tzid)), __row=F.monotonically_increasing_id())
+
+    def own(name: str, column: str) -> DataFrame:
+        return zones.select(*(F.col(k).alias(f"__{column}_{k}") for k in keys), F.col("tzid").alias(f"__{column}"), F.col("transitions").alias(f"__{column}_t"))
+
+    found = known
+    for name, column in ((tzid, "as_is"), ("__bare", "plain")):
+        right = own(name, column)
+        found = found.join(right, [*(F.col(k).eqNullSafe(F.col(f"__{column}_{k}")) for k in keys), F.col(name) == F.col(f"__{column}"), F.col("__host").isNull()], "left")
+    placed = columns.step(found, __t=F.coalesce("__as_is_t", "__plain_t"))
+    offset = offset_at_wall(F.col("__t"), F.col(wall))["offset_s"]
+    instant = F.when(F.col("__host").isNotNull(), F.convert_timezone(F.col("__host"), F.lit("UTC"), F.col(wall))).when(F.col("__t").isNotNull(), columns.add_seconds(F.col(wall), -offset))
+    source = F.when(F.col("__host").isNotNull(), "host").when(F.col("__t").isNotNull(), "document").otherwise("unresolved")
+    out = placed.withColumn("instant_utc", instant).withColumn("source", source).withColumn("warning", F.when((F.col("source") == "unresolved") & F.col(tzid).isNotNull(), _unresolved(F.col(tzid))))
+    return out.select(*(F.col(f"`{c}`") for c in times.columns), "instant_utc", "source", "warning")
 
 
 def used_spans(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, tzid, first and last wall time in values that name a zone."""
+    """keys, tzid, first and last wall time in values that name a zone (those of definitions aside), how many there are, and
+    where it is named first (comp_id, ordinal): their order is that of `first_seen`."""
     rest = parsed.select(*keys, F.inline("properties"))
     tz = views.param(F.col("params"), "TZID")
     found = F.explode(F.regexp_extract_all("value", F.lit(r"\d{8}T\d{6}"), F.lit(0)))
-    times = rest.where(tz.isNotNull()).select(*keys, tz.alias("tzid"), found.alias("t")).withColumn("wall", columns.parse_datetime(F.col("t"))["wall"])
-    return times.where("wall IS NOT NULL").groupBy(*keys, "tzid").agg(F.min("wall").alias("first_wall"), F.max("wall").alias("last_wall"), F.count(F.lit(1)).alias("n_times"))
+    times = rest.where(tz.isNotNull()).select(*keys, tz.alias("tzid"), F.struct("comp_id", "ordinal").alias("seen"), found.alias("t")).withColumn("wall", columns.parse_datetime(F.col("t"))["wall"])
+    return times.where("wall IS NOT NULL").groupBy(*keys, "tzid").agg(F.min("wall").alias("first_wall"), F.max("wall").alias("last_wall"), F.count(F.lit(1)).alias("n_times"), F.min("seen").alias("first_seen"))
 
 
 def missing_zones(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -182,39 +221,186 @@ def missing_zones(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return used_spans(parsed, keys).join(defined, [*keys, "tzid"], "left_anti")
 
 
-def zone_changes(spans: DataFrame, zone: str = "tzid", low: str = "first_wall", high: str = "last_wall") -> DataFrame:
-    """Changes of offset of host zones within a span, to the second: at (UTC), before_s, after_s.
+# New definitions. Names and daylight saving are not among Spark's functions, so zones are probed in Python, a year at a time
+# and each year once a worker.
+
+
+@lru_cache(4096)
+def _changes_of_year(name: str, year: int) -> list[tuple[datetime, tuple, tuple]]:
+    """Changes of (offset, daylight saving, name) in a year of UTC, to the second: the instant, before, after."""
+    zone = ZoneInfo(name)
+    at, stop = datetime(year, 1, 1), datetime(year + 1, 1, 1) if year < 9999 else datetime(9999, 12, 31)
+    out, before = [], _probe(zone, at)
+    while at < stop:
+        upto = min(at + timedelta(days=1), stop)
+        after = _probe(zone, upto)
+        if after != before:
+            low, high = 0, int((upto - at).total_seconds())
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if _probe(zone, at + timedelta(seconds=middle)) == before else (low, middle)
+            moment = at + timedelta(seconds=high)
+            out.append((moment, before, _probe(zone, moment)))
+        at, before = upto, after
+    return out
+
+
+def _probe(zone: ZoneInfo, at: datetime) -> tuple[int, int, str]:
+    local = at.replace(tzinfo=timezone.utc).astimezone(zone)
+    return int(local.utcoffset().total_seconds()), int((local.dst() or timedelta(0)).total_seconds()), local.tzname() or ""
+
+
+def host_changes(name: str, first: datetime, last: datetime) -> list[tuple[datetime, tuple, tuple]]:
+    """A host zone's changes after an instant and up to another."""
+    return [c for y in range(first.year, last.year + 1) for c in _changes_of_year(name, y) if first < c[0] <= last]
+
+
+def onset_groups(name: str, first: datetime, last: datetime) -> list[tuple[int, int, str, bool, list[datetime]]]:
+    """(offset before, offset after, name, daylight saving, onsets on the wall clock before them) in the order of their first
+    onsets; one standing offset from the start where nothing changes."""
+    groups: dict[tuple, list[datetime]] = {}
+    for moment, before, after in host_changes(name, first, last):
+        groups.setdefault((before[0], after[0], after[2], after[1] > 0), []).append(moment + timedelta(seconds=before[0]))
+    if not groups:
+        offset, dst, label = _probe(ZoneInfo(name), first)
+        groups[(offset, offset, label, dst > 0)] = [first + timedelta(seconds=offset)]
+    return [(*key, found) for key, found in groups.items()]
+
+
+GROUP = "before_s int, after_s int, name string, is_daylight boolean, onsets array<string>"
+
+
+def zone_groups(spans: DataFrame, zone: str = "tzid", low: str = "first_wall", high: str = "last_wall") -> DataFrame:
+    """spans with a row for each group of onsets of their host zone: before_s, after_s, name, is_daylight, onsets (wire text,
+    rising), group_no (by first onset). A zone that isn't the host's gives none."""
+    kept = spans.columns
+    schema = T.StructType([*spans.schema.fields, T.StructField("group_no", T.IntegerType()), *T._parse_datatype_string(GROUP).fields])
+    own = host_zone_name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, (name, a, b) in enumerate(zip(*(batch.column(kept.index(c)).to_pylist() for c in (zone, low, high)), strict=True)):
+                bare = own(name)
+                if bare is None or a is None or b is None:
+                    continue
+                for n, (before, after, label, daylight, found) in enumerate(onset_groups(bare, a, b)):
+                    at.append(k)
+                    rows.append((n, before, after, label, daylight, [f"{x:%Y%m%dT%H%M%S}" for x in found]))
+            columns_ = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns), *(pa.array(c, kind) for c, kind in zip(columns_, kinds, strict=True))], schema.names)
+
+    return spans.mapInArrow(run, schema)
+
+
+def host_zone_name(tzid: str | None) -> str | None:
+    """The host's zone of that name, slashes before it aside; None if there is none."""
+    if not tzid:
+        return None
+    try:
+        return ZoneInfo(tzid.lstrip("/")).key
+    except (ZoneInfoNotFoundError, ValueError, OSError):
+        return None
+
+
+def _definition(tzid: str, groups: list[tuple[int, int, str, bool, list[datetime]]]) -> Node:
+    prop = lambda name, value: {"grp": None, "name": name, "name_uc": name, "params": [], "value": value, "line_no": 0}
+    shown = lambda x: f"{x:%Y%m%dT%H%M%S}"
+    out = Node("VTIMEZONE", [prop("TZID", tzid)])
+    for before, after, name, daylight, found in groups:
+        part = [prop("DTSTART", shown(found[0])), prop("TZOFFSETFROM", offset_text(before)), prop("TZOFFSETTO", offset_text(after))]
+        part += [prop("TZNAME", name)] if name else []
+        part += [prop("RDATE", ",".join(map(shown, found[1:])))] if len(found) > 1 else []
+        out.children.append(Node("DAYLIGHT" if daylight else "STANDARD", part))
+    return out
 
-    Days are probed; a day over which the offset changes is halved seventeen times by a sequence of columns, in the JVM.
-    """
-    def offset(at: Column) -> Column:
-        instant = columns.from_epoch(at)
-        return (columns.epoch(F.convert_timezone(F.lit("UTC"), F.col(zone), instant)) - at).cast("int")
 
-    days = spans.withColumn("day", F.explode(F.sequence(columns.epoch(F.col(low)), columns.epoch(F.col(high)), F.lit(86400).cast("bigint"))))
-    found = days.withColumn("lo", F.col("day")).withColumn("hi", F.col("day") + 86400).withColumn("before_s", offset(F.col("lo"))).withColumn("after_s", offset(F.col("hi"))).where("before_s <> after_s")
-    for _ in range(17):
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("bigint")
-        found = found.withColumn("__m", middle).withColumn("__same", offset(F.col("__m")) == F.col("before_s"))
-        found = found.withColumn("lo", F.when(F.col("__same"), F.col("__m")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("__same"), F.col("hi")).otherwise(F.col("__m"))).drop("__m", "__same")
-    return found.withColumn("at", columns.from_epoch(F.col("hi"))).drop("day", "lo", "hi")
+def offset_text(seconds: int) -> str:
+    s = abs(seconds)
+    return f"{'-' if seconds < 0 else '+'}{s // 3600:02}{s // 60 % 60:02}" + (f"{s % 60:02}" if s % 60 else "")
 
 
-def zone_groups(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Changes by their pair of offsets, as parts of a definition: each group's onsets on the wall clock before them."""
-    onset = columns.from_epoch(columns.epoch(F.col("at")) + F.col("before_s"))
-    rows = changes.withColumn("onset", columns.format_datetime(onset))
-    kind = F.when(F.col("after_s") > F.col("before_s"), "DAYLIGHT").otherwise("STANDARD")
-    return rows.groupBy(*keys, "before_s", "after_s").agg(F.min("at").alias("first_at"), F.sort_array(F.collect_list("onset")).alias("onsets")).withColumn("kind", kind)
+def definitions(spans: DataFrame, zone: str = "tzid", low: str = "first_wall", high: str = "last_wall", column: str = "content") -> DataFrame:
+    """spans with the wire text of a VTIMEZONE that describes their host zone from `low` to `high` (instants in UTC): onsets by
+    offsets, name and kind, further ones of a group as RDATEs; null for a zone that isn't the host's."""
 
+    @F.arrow_udf("string")
+    def made(names: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
+        out = []
+        for name, a, b in zip(names.to_pylist(), lows.to_pylist(), highs.to_pylist(), strict=True):
+            bare = host_zone_name(name)
+            out.append(None if bare is None or a is None or b is None else document_to_wire([_definition(name, onset_groups(bare, a, b))]))
+        return pa.array(out, pa.string())
 
-def definition(groups: DataFrame, keys: list[str], tzid: str = "tzid") -> DataFrame:
-    """keys, tzid, content: a VTIMEZONE of wire text from groups; further onsets of a group are RDATEs."""
-    start, more = F.get("onsets", 0), F.slice("onsets", 2, F.greatest(F.size("onsets") - 1, F.lit(0)))
-    rdates = F.when(F.size(more) > 0, F.concat(F.lit("RDATE:"), F.array_join(more, ","), F.lit("\r\n"))).otherwise("")
-    part = F.concat(F.lit("BEGIN:"), "kind", F.lit("\r\nDTSTART:"), start, F.lit("\r\n"), rdates, F.lit("TZOFFSETFROM:"), columns.format_offset(F.col("before_s")), F.lit("\r\nTZOFFSETTO:"), columns.format_offset(F.col("after_s")), F.lit("\r\nEND:"), "kind", F.lit("\r\n"))
-    each = groups.select(*keys, F.col(tzid).alias("tzid"), F.struct("first_at", part.alias("text")).alias("p"))
-    joined = each.groupBy(*keys, "tzid").agg(F.sort_array(F.collect_list("p")).alias("parts"))
-    return joined.select(*keys, "tzid", F.concat(F.lit("BEGIN:VTIMEZONE\r\nTZID:"), "tzid", F.lit("\r\n"), F.array_join(F.transform("parts", lambda p: p["text"]), ""), F.lit("END:VTIMEZONE\r\n")).alias("content"))
+    return spans.withColumn(column, made(F.col(zone), F.col(low), F.col(high)))
 
 
+WIRE_TIME = re.compile(r"\d{8}T\d{6}")
+
+
+def _used(node: Node, out: dict[str, tuple[datetime, datetime]]) -> None:
+    """Spans of zones that a component's values name, in the order in which they are named; definitions aside."""
+    stack = [node]
+    while stack:
+        here = stack.pop()
+        for p in here.properties:
+            tzid = next((q["values"][0] for q in p["params"] if q["name"].upper() == "TZID" and q["values"]), None)
+            for text in WIRE_TIME.findall(p["value"]) if tzid is not None else ():
+                try:
+                    at = datetime.strptime(text, "%Y%m%dT%H%M%S")
+                except ValueError:
+                    continue
+                low, high = out.get(tzid, (at, at))
+                out[tzid] = (min(low, at), max(high, at))
+        stack += [c for c in reversed(here.components) if c.name.upper() != "VTIMEZONE"]
+
+
+def add_missing_timezones(parsed: DataFrame, padding_days: int = 366) -> DataFrame:
+    """parsed documents whose calendars define every zone of the host that their values name: definitions stand before the
+    first subcomponent and cover the times that name them and `padding_days` on both sides. With `added` (their TZIDs) and
+    `zone_warnings` (texts, for names that the host doesn't know). Each document is changed by itself; nothing is shuffled."""
+    kept = [c for c in parsed.columns if c not in views.PARTS]
+    pad = timedelta(days=padding_days)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema if f.name in kept), PARSED, "added array<string>, zone_warnings array<string>"])
+
+    def grown(roots: list[Node]) -> tuple[list[str], list[str]]:
+        added, warned = [], []
+        for root in roots:
+            if root.name.upper() != "VCALENDAR":
+                continue
+            have = {p["value"] for c in root.components if c.name.upper() == "VTIMEZONE" for p in [q for q in c.properties if q["name_uc"] == "TZID"][:1]}
+            spans: dict[str, tuple[datetime, datetime]] = {}
+            _used(root, spans)
+            new = []
+            for tzid, (low, high) in spans.items():
+                if tzid in have:
+                    continue
+                name = host_zone_name(tzid)
+                if name is None:
+                    warned.append(f"cannot generate a VTIMEZONE for unknown TZID {tzid!r}")
+                    continue
+                first, last = max(low, datetime.min + pad) - pad, min(high, datetime.max - pad) + pad
+                new.append(_definition(tzid, onset_groups(name, first, last)))
+                added.append(tzid)
+            at = next((k for k, c in enumerate(root.children) if isinstance(c, Node)), len(root.children))
+            root.children[at:at] = new
+        return added, warned
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flats, added, warned = [], [], []
+            for c, p in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
+                roots = trees(c or [], p or [])
+                a, w = grown(roots)
+                flats.append(flattened(roots))
+                added.append(a)
+                warned.append(w)
+            parts = arrays_of(flats)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(kept)], parts[0], parts[1], batch.column(len(kept) + 2), batch.column(len(kept) + 3), pa.array(added, pa.list_(pa.string())), pa.array(warned, pa.list_(pa.string()))],
+                [*kept, *views.PARTS, "added", "zone_warnings"],
+            )
+
+    return parsed.select(*(F.col(f"`{c}`") for c in kept), *views.PARTS).mapInArrow(run, schema)

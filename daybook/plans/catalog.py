@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.functions import columns, registry, text
+from daybook.functions import columns, text, typed
 from daybook.operators import edit, emit, jcal, views, xcal, zones
 from daybook.operators import expand as recurrence
 from daybook.plans import render
@@ -42,9 +42,9 @@ BY_MONTH = "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_events
 @query(BY_MONTH)
 def parse_events_by_month(spark, d):
     docs = render.calendars_of_customers(table(spark, d, "orders"))
-    starts = wire.native_properties(docs).where("name_uc = 'DTSTART' AND comp_name = 'VEVENT'")
-    wall = columns.parse_datetime(F.col("value"))["wall"]
-    return starts.groupBy(stamp(wall, 7).alias("month")).agg(F.count(F.lit(1)).alias("n_events"))
+    events = views.with_properties(wire.parse_documents(docs, strict=True, names=("DTSTART",)), "VEVENT")
+    starts = columns.spread(events.select(views.first_of(F.col("props"), "DTSTART")["value"].alias("v")), columns.parse_datetime(F.col("v")), "wall", "is_date", "utc", "leap")
+    return starts.groupBy(stamp(F.col("wall"), 7).alias("month")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
 @query(BY_MONTH)
@@ -72,7 +72,7 @@ def unfold_roundtrip(spark, d):
     return parsed.select("doc_id", F.length(back).cast("bigint").alias("n_chars"), F.md5(back).alias("text_md5"))
 
 
-@query("SELECT doc_id, max(n) <= 75 AS fits, count(*) AS n_lines FROM (SELECT 0 AS doc_id, 0 AS n) WHERE false GROUP BY 1 UNION ALL SELECT c_custkey, true, 1 + CAST(ceil(greatest(0, 9 + 100 + length(c_name) - 75) / 74.0) AS BIGINT) FROM customer")
+@query("SELECT c_custkey AS doc_id, true AS fits, 1 + CAST(ceil(greatest(0, 9 + 100 + length(c_name) - 75) / 74.0) AS BIGINT) AS n_lines FROM customer")
 def fold_lines(spark, d):
     line = F.concat(F.lit("COMMENT:"), F.repeat(F.lit("x"), 101), "c_name")
     folded = F.split(text.fold(line), "\r\n")
@@ -174,19 +174,55 @@ def base64_attach(spark, d):
 def typed_values(spark, d):
     q = F.col("l_quantity").cast("bigint")
     todo = render.component("VTODO", render.prop("PRIORITY", (q % 10).cast("string")), F.concat(F.lit("GEO:"), F.col("l_discount").cast("string"), F.lit(";7.5")), F.concat(F.lit("DURATION:PT"), q.cast("string"), F.lit("H"), F.col("l_linenumber").cast("string"), F.lit("M")))
-    docs = table(spark, d, "lineitem").select("l_returnflag", todo.alias("content"))
-    p = F.col("properties")
-    read = wire.parse_documents(docs).select("l_returnflag", F.trim(views.first_of(p, "PRIORITY")["value"]).try_cast("bigint").alias("p"), views.duration_of(p).alias("s"), F.split(views.first_of(p, "GEO")["value"], ";")[0].try_cast("double").alias("lat"))
-    return read.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("priorities"), F.sum("s").alias("seconds"), F.round(F.sum("lat"), 2).alias("latitudes"))
+    docs = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("doc_id"), "l_returnflag", todo.alias("content"))
+    found = views.values(wire.parse_documents(docs)).select("l_returnflag", "name_uc", F.get("typed.integers", 0).alias("p"), F.get("typed.seconds", 0).alias("s"), F.get("typed.floats", 0).alias("lat"))
+    return found.groupBy("l_returnflag").agg(F.sum((F.col("name_uc") == "GEO").cast("bigint")).alias("n"), F.sum("p").alias("priorities"), F.sum("s").alias("seconds"), F.round(F.sum("lat"), 2).alias("latitudes"))
+
+
+KINDS = """
+    SELECT kind, count(*) AS n, count(*) AS n_same, CAST(round(sum(total), 2) AS DOUBLE) AS total FROM (SELECT c_custkey AS k, unnest([
+        {'kind': 'integer', 'total': CAST(c_custkey AS DOUBLE)}, {'kind': 'float', 'total': c_custkey + 0.5}, {'kind': 'duration', 'total': (c_custkey + 1) * 3600.0 + 604800}, {'kind': 'date-time', 'total': 2},
+        {'kind': 'date', 'total': 2}, {'kind': 'period', 'total': 5400 + 86400}, {'kind': 'utc-offset', 'total': -5400}, {'kind': 'text', 'total': 2}, {'kind': 'structured', 'total': 3}, {'kind': 'binary', 'total': length(c_name)},
+        {'kind': 'uri', 'total': 1}, {'kind': 'cal-address', 'total': 1}, {'kind': 'recur', 'total': 1}, {'kind': 'boolean', 'total': c_custkey % 2}, {'kind': 'time', 'total': 1}, {'kind': 'unknown', 'total': 1}], recursive := true) FROM customer)
+    GROUP BY 1 UNION ALL SELECT 'none', count(*), 0, 0 FROM customer"""
+
+
+@query(KINDS)
+def typed_kinds(spark, d):
+    """A value of every type, typed and written again: how many are as they were, and a sum of what their structs hold."""
+    key = F.col("c_custkey").cast("string")
+    flag = F.when(F.col("c_custkey") % 2 == 1, "TRUE").otherwise("FALSE")
+    body = render.component(
+        "VEVENT", F.concat(F.lit("SEQUENCE:"), key), F.concat(F.lit("X-F;VALUE=FLOAT:"), key, F.lit(".5")), F.concat(F.lit("DURATION:P1WT"), (F.col("c_custkey") + 1).cast("string"), F.lit("H")), "EXDATE:20200101T000000Z,20200229T235960",
+        "RDATE;VALUE=DATE:20200229,20240229", "FREEBUSY:20200101T000000Z/PT1H30M,20200101T000000Z/20200102T000000Z", "TZOFFSETTO:-0130", "CATEGORIES:a\\,b,c\\;d", "REQUEST-STATUS:2.0;all\\; well;x",
+        F.concat(F.lit("ATTACH;VALUE=BINARY:"), F.base64(F.encode("c_name", "UTF-8"))), "URL:https://x.example/?a=1;b=2", F.concat(F.lit("ATTENDEE:mailto:"), key, F.lit("@x.example")),
+        "RRULE:FREQ=DAILY;COUNT=2", F.concat(F.lit("X-B;VALUE=BOOLEAN:"), flag), "X-T;VALUE=TIME:101500", "X-U:as; it, is", F.lit("DTSTART:never"),
+    )
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), body.alias("content"))
+    t = lambda n: F.col(f"typed.{n}")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    held = F.coalesce(total(t("integers")), total(t("floats")), total(t("seconds")), F.size("typed.times"), F.aggregate(t("periods"), F.lit(0.0), lambda a, x: a + x["seconds"]), F.size("typed.clocks"), F.size("typed.fields"), F.length("typed.bytes"), t("flag").cast("int"), F.size("typed.texts"), F.lit(0)).cast("double")
+    same = (typed.serialize_value(F.col("typed")) == F.col("value")).cast("bigint")
+    found = views.values(wire.parse_documents(docs)).select(F.coalesce(t("kind"), F.lit("none")).alias("kind"), held.alias("held"), F.coalesce(same, F.lit(0)).alias("same"))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("n_same"), F.round(F.sum("held"), 2).alias("total"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(epoch(date_trunc('second', ts) AT TIME ZONE 'Europe/Zurich') AS BIGINT) WHEN 1 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) WHEN 2 THEN CAST(epoch(date_trunc('second', ts) AT TIME ZONE 'America/New_York') AS BIGINT) ELSE -1 END AS instant FROM events")
+def native_instants(spark, d):
+    """Instants of values in a zone, in UTC, in a zone with a slash before it, and of floating ones, which have none."""
+    k = F.col("event_id") % 4
+    wall = columns.format_datetime(F.col("ts").cast("timestamp_ntz"))
+    line = F.when(k == 0, F.concat(F.lit("DTSTART;TZID=Europe/Zurich:"), wall)).when(k == 1, F.concat(F.lit("DTSTART:"), wall, F.lit("Z"))).when(k == 2, F.concat(F.lit("DTSTART;TZID=/America/New_York:"), wall)).otherwise(F.concat(F.lit("DTSTART:"), wall))
+    parsed = wire.parse_documents(table(spark, d, "events").select("event_id", render.component("VEVENT", line).alias("content")))
+    return views.values(parsed).select("event_id", F.coalesce(columns.epoch(F.get("instants", 0)), F.lit(-1)).alias("instant"))
 
 
-@query("SELECT vtype, multiplicity, count(*) AS n FROM (SELECT unnest(['text', 'date-time', 'date', 'uri', 'unknown', 'float', 'text']) AS vtype, unnest(['single', 'single', 'list', 'single', 'single', 'single', 'structured']) AS multiplicity FROM nation) GROUP BY ALL")
+@query("""
+    SELECT 'text' AS vtype, 'single' AS multiplicity, CAST(sum(5 + CAST(c_custkey % 3 = 0 AS INTEGER)) AS BIGINT) AS n FROM customer UNION ALL
+    SELECT 'text', 'list', count(*) FROM customer UNION ALL SELECT 'text', 'structured-lists', count(*) FROM customer""")
 def registry_types(spark, d):
-    rows = [("SUMMARY", None), ("dtstart", None), ("EXDATE", "DATE"), ("URL", None), ("X-OTHER", None), ("GEO", "FLOAT"), ("GEO", "TEXT")]
-    rows[5] = ("X-F", "float")
-    made = spark.createDataFrame([("icalendar", n.upper(), [("VALUE", [v])] if v else []) for n, v in rows], f"dialect string, name_uc string, params {wire.PARAMS}")
-    each = table(spark, d, "nation").select("n_nationkey").join(F.broadcast(made))
-    return registry.with_types(each, spark).groupBy("vtype", "multiplicity").agg(F.count(F.lit(1)).alias("n"))
+    found = views.values(wire.parse_documents(render.cards(table(spark, d, "customer"))))
+    return found.groupBy("vtype", "multiplicity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -276,11 +312,10 @@ def calendar_lists(spark, d):
 # Recurrence.
 
 
-def _series(spark, d, rule, start=None, most=None):
+def _series(spark, d, rule, start=None):
     orders = table(spark, d, "orders")
     at = start if start is not None else columns.format_datetime(F.col("o_orderdate"))
-    rows = orders.select("o_orderkey", (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), at.alias("dtstart"))
-    return rows if most is None else rows.where(most)
+    return orders.select("o_orderkey", (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), at.alias("dtstart"))
 
 
 def _summary(occurrences):
@@ -356,11 +391,11 @@ def rrule_yearly_byyearday(spark, d):
 
 
 @query("""
-    WITH x AS (SELECT o_orderkey, o_orderdate, o_orderdate + to_days(CAST(k AS INTEGER)) AS t FROM (SELECT *, unnest(generate_series(0, 1500)) AS k FROM orders WHERE o_orderkey % 10 = 0)),
-    c AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY t) AS r FROM x WHERE weekofyear(t) = 20 AND isodow(t) = 1)
+    WITH x AS (SELECT o_orderkey, o_orderdate, date_trunc('week', o_orderdate) + to_weeks(CAST(k AS INTEGER)) + (o_orderdate - date_trunc('day', o_orderdate)) AS t FROM (SELECT *, unnest(generate_series(0, 215)) AS k FROM orders)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY t) AS r FROM x WHERE weekofyear(t) = 20 AND t >= o_orderdate)
     SELECT o_orderkey, count(*) AS n, strftime(min(t), '%Y-%m-%d %H:%M') AS first, strftime(max(t), '%Y-%m-%d %H:%M') AS last FROM c WHERE r <= 3 GROUP BY 1""")
 def rrule_yearly_byweekno(spark, d):
-    return _summary(recurrence.expand(_series(spark, d, "FREQ=YEARLY;BYWEEKNO=20;BYDAY=MO;COUNT=3", most=F.col("o_orderkey") % 10 == 0)))
+    return _summary(recurrence.expand(_series(spark, d, "FREQ=YEARLY;BYWEEKNO=20;BYDAY=MO;COUNT=3")))
 
 
 @query("""
@@ -394,14 +429,44 @@ def recur_canonical(spark, d):
     return recurrence.canonical_rules(rows).select("n_nationkey", "canonical", "json", F.col("rule_error").isNotNull().alias("failed"))
 
 
-@query("""SELECT r_regionkey, '2014-01-31 2014-02-28 2014-03-31 2014-04-30' AS backward, '2014-01-31 2014-03-01 2014-03-31 2014-05-01' AS forward,
-    '2014-09-10 2015-09-11 2016-09-10 2017-09-10 2018-09-10 2019-09-11' AS ethiopic, '2014-09-20 2014-10-20 2014-11-19 2014-12-18' AS chinese FROM region""")
-def rscale_calendars(spark, d):
-    rules = {"backward": ("RSCALE=GREGORIAN;FREQ=MONTHLY;SKIP=BACKWARD;COUNT=4", "20140131"), "forward": ("RSCALE=GREGORIAN;FREQ=MONTHLY;SKIP=FORWARD;COUNT=4", "20140131"), "ethiopic": ("RSCALE=ETHIOPIC;FREQ=YEARLY;BYMONTH=13;BYMONTHDAY=-1;COUNT=6", "20140910"), "chinese": ("RSCALE=CHINESE;FREQ=MONTHLY;COUNT=4", "20140920")}
-    each = spark.createDataFrame([(k, *v) for k, v in rules.items()], "label string, rule string, dtstart string")
-    rows = table(spark, d, "region").select("r_regionkey").join(F.broadcast(each))
-    found = recurrence.expand(rows).groupBy("r_regionkey", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list("wall")), lambda w: stamp(w, 10)), " ").alias("days"))
-    return found.groupBy("r_regionkey").pivot("label", list(rules)).agg(F.first("days"))
+@query("""
+    WITH s AS (SELECT s_suppkey, CAST(DATE '2000-01-01' + CAST(s_suppkey * 37 % 4000 AS INTEGER) - DATE '0001-01-01' AS BIGINT) + 1 AS rd FROM supplier),
+    y AS (SELECT *, (4 * (rd - 103605) + 1463) // 1461 AS y FROM s), o AS (SELECT *, rd - (103605 + 365 * (y - 1) + y // 4) AS doy FROM y),
+    x AS (SELECT *, unnest(range(0, 1700)) AS k FROM o),
+    c AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY k) AS n, 103605 + 365 * (y + k - 1) + (y + k) // 4 + doy AS rd_k FROM x WHERE doy < 365 OR (y + k) % 4 = 3)
+    SELECT s_suppkey, CAST(max(n) AS BIGINT) AS n, strftime(DATE '0001-01-01' + CAST(min(rd_k) - 1 AS INTEGER), '%Y-%m-%d') AS first, strftime(DATE '0001-01-01' + CAST(max(rd_k) - 1 AS INTEGER), '%Y-%m-%d') AS last FROM c WHERE n <= 400 GROUP BY 1""")
+def rrule_rscale_long(spark, d):
+    """400 years of a calendar of thirteen months."""
+    start = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("s_suppkey") * 37 % 4000).cast("int"))
+    series = table(spark, d, "supplier").select("s_suppkey", F.lit("RSCALE=COPTIC;FREQ=YEARLY;COUNT=400").alias("rule"), columns.format_date(start).alias("dtstart"))
+    return recurrence.expand(series).groupBy("s_suppkey").agg(F.count("wall").alias("n"), stamp(F.min("wall"), 10).alias("first"), stamp(F.max("wall"), 10).alias("last"))
+
+
+@query("""
+    WITH m AS (SELECT o_orderkey, o_orderdate, date_trunc('month', o_orderdate) + to_months(CAST(k AS INTEGER)) AS m, k FROM (SELECT *, unnest(generate_series(0, 4)) AS k FROM orders)),
+    t AS (SELECT *, day(o_orderdate) AS d, day(last_day(m)) AS n FROM m),
+    x AS (SELECT *, CASE WHEN d <= n THEN m + to_days(CAST(d - 1 AS INTEGER)) WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN m + to_days(CAST(n - 1 AS INTEGER)) ELSE m + to_days(CAST(n AS INTEGER)) END AS day FROM t)
+    SELECT o_orderkey, string_agg(strftime(day, '%Y-%m-%d'), ' ' ORDER BY day) AS days FROM x WHERE day <= date_trunc('day', o_orderdate) + INTERVAL 100 DAY GROUP BY 1""")
+def rrule_skip(spark, d):
+    """Months without the wanted day: left out, moved back, moved on."""
+    skip = F.element_at(F.array(F.lit("OMIT"), F.lit("BACKWARD"), F.lit("FORWARD")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    until = columns.format_date(columns.add_seconds(F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).cast("timestamp_ntz"), F.lit(100 * 86400)))
+    series = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("RSCALE=GREGORIAN;FREQ=MONTHLY;SKIP="), skip, F.lit(";UNTIL="), until).alias("rule"), columns.format_date(F.col("o_orderdate")).alias("dtstart"))
+    return recurrence.expand(series).groupBy("o_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("wall")), lambda w: stamp(w, 10)), " ").alias("days"))
+
+
+@query("""
+    WITH x AS (SELECT o_orderkey, unnest(generate_series(0, 3)) AS k, o_orderdate + INTERVAL 570 MINUTE AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'Europe/Zurich' ELSE 'America/New_York' END AS z FROM orders),
+    y AS (SELECT *, t + to_weeks(CAST(k AS INTEGER)) AS w FROM x)
+    SELECT o_orderkey AS doc_id, CAST(k AS BIGINT) AS seq, strftime(w, '%Y-%m-%d %H:%M:%S') AS wall, CAST(epoch(w AT TIME ZONE z) AS BIGINT) AS instant FROM y WHERE o_orderkey % 5 > 0 OR k = 0""")
+def occurrences_of_events(spark, d):
+    """From parsed events to instants: the start, the rule if there is one, and the zone."""
+    zone = F.when(F.col("o_orderkey") % 2 == 0, "Europe/Zurich").otherwise("America/New_York")
+    start = F.concat(F.lit("DTSTART;TZID="), zone, F.lit(":"), columns.format_datetime(columns.add_seconds(F.col("o_orderdate"), F.lit(570 * 60))))
+    event = render.component("VEVENT", start, F.when(F.col("o_orderkey") % 5 > 0, "RRULE:FREQ=WEEKLY;COUNT=4"))
+    parsed = wire.parse_documents(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), render.calendar(event).alias("content")))
+    found = recurrence.occurrences(views.events(parsed))
+    return found.select("doc_id", "seq", stamp(F.col("wall")).alias("wall"), columns.epoch(F.col("instant_utc")).alias("instant"))
 
 
 @query("""
@@ -426,12 +491,13 @@ def zone_wall_to_utc(spark, d):
     return table(spark, d, "events").select("event_id", at("Europe/Zurich").alias("zurich"), at("America/New_York").alias("new_york"))
 
 
-@query("""SELECT r_regionkey, '2023-03-25 01:30:00|2023-03-26 01:30:00|2023-03-27 00:30:00' AS gap, '2023-10-28 00:30:00|2023-10-29 00:30:00|2023-10-30 01:30:00' AS overlap FROM region""")
+@query("""
+    WITH x AS (SELECT event_id, date_trunc('second', ts) AS t, unnest(range(0, 5)) AS k FROM events), y AS (SELECT *, (t + to_days(CAST(k AS INTEGER))) AS w FROM x)
+    SELECT event_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(epoch(w AT TIME ZONE 'Europe/Zurich')) AS BIGINT) AS instants FROM y GROUP BY 1""")
 def expand_dst_zurich(spark, d):
-    each = spark.createDataFrame([("gap", "FREQ=DAILY;UNTIL=20230327T003000Z", "20230325T023000"), ("overlap", "FREQ=DAILY;COUNT=3", "20231028T023000")], "label string, rule string, dtstart string")
-    rows = table(spark, d, "region").select("r_regionkey", F.lit("Europe/Zurich").alias("tzid")).join(F.broadcast(each))
-    found = recurrence.expand_zoned(rows).groupBy("r_regionkey", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("wall", "instant_utc"))), lambda x: stamp(x["instant_utc"])), "|").alias("t"))
-    return found.groupBy("r_regionkey").pivot("label", ["gap", "overlap"]).agg(F.first("t"))
+    wall = columns.format_datetime(F.col("ts").cast("timestamp_ntz"))
+    rows = table(spark, d, "events").select("event_id", F.lit("Europe/Zurich").alias("tzid"), F.lit("FREQ=DAILY;COUNT=5").alias("rule"), wall.alias("dtstart"))
+    return recurrence.expand_zoned(rows).groupBy("event_id").agg(F.count("wall").alias("n"), F.sum(columns.epoch(F.col("instant_utc"))).alias("instants"))
 
 
 ZONE = "BEGIN:VTIMEZONE\r\nTZID:Custom\r\nBEGIN:STANDARD\r\nDTSTART:19701101T030000\r\nRRULE:FREQ=YEARLY;BYMONTH=11;BYDAY=1SU\r\nTZOFFSETFROM:+0230\r\nTZOFFSETTO:+0130\r\nTZNAME:CST\r\nEND:STANDARD\r\nBEGIN:DAYLIGHT\r\nDTSTART:19700301T020000\r\nRRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=1SU\r\nTZOFFSETFROM:+0130\r\nTZOFFSETTO:+0230\r\nTZNAME:CDT\r\nEND:DAYLIGHT\r\nEND:VTIMEZONE\r\n"
@@ -454,21 +520,34 @@ def vtimezone_asof(spark, d):
     return rows.select("o_orderkey", (columns.epoch(F.col("o_orderdate")) - found["offset_s"]).alias("instant"), found["name"].alias("name"), found["dst_s"].alias("dst"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS wall, 0 AS fold FROM orders")
+FOLDS = """
+    WITH x AS (SELECT o_orderkey, make_date(CAST(year(o_orderdate) AS BIGINT), 11, 1) AS v, o_orderkey % 180 - 60 AS m FROM orders),
+    y AS (SELECT *, CAST(v + CAST((7 - isodow(v)) AS INTEGER) AS TIMESTAMP) + INTERVAL 30 MINUTE + to_minutes(CAST(m AS INTEGER)) AS t FROM x)
+    SELECT o_orderkey, strftime(t + to_minutes(CASE WHEN m < 0 THEN 150 ELSE 90 END), '%Y-%m-%d %H:%M:%S') AS wall, CAST(m >= 0 AND m < 60 AS INTEGER) AS fold, true AS back FROM y"""
+
+
+@query(FOLDS)
 def vtimezone_from_utc(spark, d):
-    rows = table(spark, d, "orders").join(F.broadcast(_custom_zone(spark)))
-    offset = zones.offset_at_wall(F.col("transitions"), F.col("o_orderdate"))["offset_s"]
-    back = zones.from_utc(F.col("transitions"), columns.add_seconds(F.col("o_orderdate"), -offset))
-    return rows.select("o_orderkey", stamp(back["wall"]).alias("wall"), back["fold"].alias("fold"))
+    """Instants around the end of daylight saving: wall times that occur twice have fold 1 the second time, and go back."""
+    november = F.make_date(F.year("o_orderdate"), F.lit(11), F.lit(1))
+    sunday = F.date_add(november, F.pmod(F.lit(8) - F.dayofweek(november), F.lit(7)))
+    at = columns.add_seconds(sunday.cast("timestamp_ntz"), F.lit(1800) + (F.col("o_orderkey") % 180 - 60) * 60)
+    orders = table(spark, d, "orders").withColumn("tzid", F.lit("Custom"))
+    rows = columns.step(orders.join(F.broadcast(_custom_zone(spark)), "tzid"), at=at)
+    found = columns.step(rows, back=zones.from_utc(F.col("transitions"), F.col("at")))
+    offset = F.when(F.col("back.fold") == 1, zones.offset_at_wall(F.col("transitions"), F.col("back.wall"), 1)["offset_s"]).otherwise(zones.offset_at_wall(F.col("transitions"), F.col("back.wall"))["offset_s"])
+    return found.select("o_orderkey", stamp(F.col("back.wall")).alias("wall"), F.col("back.fold").alias("fold"), (columns.add_seconds(F.col("back.wall"), -offset) == F.col("at")).alias("back"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'document' ELSE 'unresolved' END AS source, CASE o_orderkey % 3 WHEN 0 THEN CAST(epoch(o_orderdate) AS BIGINT) - 32400 WHEN 1 THEN CAST(epoch(o_orderdate) AS BIGINT) - 5400 ELSE -1 END AS instant FROM orders WHERE month(o_orderdate) IN (1, 2, 12)")
+@query(f"""
+    WITH c AS ({CUSTOM})
+    SELECT o.o_orderkey, CASE o.o_orderkey % 4 WHEN 0 THEN 'host' WHEN 3 THEN 'unresolved' ELSE 'document' END AS source, o.o_orderkey % 4 = 3 AS warned,
+           CASE o.o_orderkey % 4 WHEN 0 THEN CAST(epoch(o_orderdate) AS BIGINT) - 32400 WHEN 3 THEN -1 ELSE c.instant END AS instant FROM orders o JOIN c USING (o_orderkey)""")
 def zone_precedence(spark, d):
-    key = F.col("o_orderkey") % 3
-    rows = table(spark, d, "orders").where(F.month("o_orderdate").isin(1, 2, 12)).select("o_orderkey", F.lit(1).alias("zone_doc"), F.col("o_orderdate").alias("wall"), F.when(key == 0, "/Asia/Tokyo").when(key == 1, "Custom").otherwise("Nowhere").alias("tzid"))
-    host = spark.createDataFrame([("Asia/Tokyo",), ("Europe/Zurich",)], "zone string")
-    found = zones.resolve(rows, _custom_zone(spark), ["zone_doc"], host)
-    return found.select("o_orderkey", "source", F.coalesce(columns.epoch(F.col("instant_utc")), F.lit(-1)).alias("instant"))
+    key = F.col("o_orderkey") % 4
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit(1).alias("zone_doc"), F.col("o_orderdate").alias("wall"), F.when(key == 0, "/Asia/Tokyo").when(key == 1, "Custom").when(key == 2, "/Custom").otherwise("Nowhere").alias("tzid"))
+    found = zones.resolve(rows, _custom_zone(spark), ["zone_doc"])
+    return found.select("o_orderkey", "source", F.col("warning").isNotNull().alias("warned"), F.coalesce(columns.epoch(F.col("instant_utc")), F.lit(-1)).alias("instant"))
 
 
 @query("SELECT o_custkey AS doc_id, 'Z' || (o_orderkey % 3) AS tzid, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first_wall, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_wall, count(*) AS n_times FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2")
@@ -480,23 +559,67 @@ def missing_tzids(spark, d):
     return found.select("doc_id", "tzid", stamp(F.col("first_wall")).alias("first_wall"), stamp(F.col("last_wall")).alias("last_wall"), "n_times")
 
 
-@query("""SELECT r_regionkey, 'Europe/Zurich' AS tzid, kind, n_onsets, onset, start_offset, end_offset FROM region,
-    (SELECT unnest(['DAYLIGHT', 'STANDARD']) AS kind, CAST(2 AS BIGINT) AS n_onsets, unnest(['20230326T020000', '20231029T030000']) AS onset, unnest(['+0100', '+0200']) AS start_offset, unnest(['+0200', '+0100']) AS end_offset)""")
+ZONES3 = "CASE o_orderkey % 3 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Asia/Tokyo' ELSE 'Europe/Zurich' END"
+
+
+def _zoned_orders(spark, d):
+    zone = F.element_at(F.array(F.lit("America/New_York"), F.lit("Asia/Tokyo"), F.lit("Europe/Zurich")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", zone.alias("tzid"), "o_orderdate")
+
+
+def _spans(spark, d):
+    year = F.lit(366 * 86400)
+    return _zoned_orders(spark, d).groupBy("tzid").agg(columns.add_seconds(F.min("o_orderdate"), -year).alias("first_wall"), columns.add_seconds(F.max("o_orderdate"), year).alias("last_wall"))
+
+
+@query(f"""
+    WITH s AS (SELECT {ZONES3} AS tzid, min(o_orderdate) - INTERVAL 366 DAY AS a, max(o_orderdate) + INTERVAL 366 DAY AS z FROM orders GROUP BY 1),
+    p AS (SELECT tzid, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS t FROM s),
+    o AS (SELECT tzid, t, CAST(epoch(timezone(tzid, timezone('UTC', t))) - epoch(t) AS INTEGER) AS off FROM p),
+    c AS (SELECT tzid, lag(off) OVER (PARTITION BY tzid ORDER BY t) AS before_s, off AS after_s FROM o),
+    g AS (SELECT tzid, before_s, after_s, count(*) AS n FROM c WHERE before_s <> after_s GROUP BY ALL)
+    SELECT tzid, CASE WHEN after_s > before_s THEN 'DAYLIGHT' ELSE 'STANDARD' END AS kind, n AS n_onsets, before_s, after_s FROM g
+    UNION ALL SELECT DISTINCT tzid, 'STANDARD', 1, off, off FROM o WHERE tzid NOT IN (SELECT tzid FROM g)""")
 def vtimezone_groups(spark, d):
-    spans = table(spark, d, "region").select("r_regionkey", F.lit("Europe/Zurich").alias("tzid"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("first_wall"), F.lit("2024-12-31 00:00:00").cast("timestamp_ntz").alias("last_wall"))
-    groups = zones.zone_groups(zones.zone_changes(spans), ["r_regionkey", "tzid"])
-    return groups.select("r_regionkey", "tzid", "kind", F.size("onsets").cast("bigint").alias("n_onsets"), F.get("onsets", 0).alias("onset"), columns.format_offset(F.col("before_s")).alias("start_offset"), columns.format_offset(F.col("after_s")).alias("end_offset"))
+    groups = zones.zone_groups(_spans(spark, d))
+    return groups.select("tzid", F.when(F.col("is_daylight"), "DAYLIGHT").otherwise("STANDARD").alias("kind"), F.size("onsets").cast("bigint").alias("n_onsets"), "before_s", "after_s")
 
 
-@query("SELECT o_orderkey, CAST(epoch(o_orderdate AT TIME ZONE 'America/New_York') AS BIGINT) AS instant FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999")
+@query(f"SELECT o_orderkey, {ZONES3} AS tzid, CAST(epoch(timezone({ZONES3}, o_orderdate)) AS BIGINT) AS instant FROM orders")
 def vtimezone_generated(spark, d):
-    """A definition made from the host's zone, parsed again, places wall times as the host does."""
-    span = spark.createDataFrame([("America/New_York", "1995-01-01 00:00:00", "2000-12-31 00:00:00")], "tzid string, a string, b string").select("tzid", F.col("a").cast("timestamp_ntz").alias("first_wall"), F.col("b").cast("timestamp_ntz").alias("last_wall"))
-    made = zones.definition(zones.zone_groups(zones.zone_changes(span), ["tzid"]), [])
-    zone = zones.transition_tables(wire.parse_documents(made.drop("tzid").withColumn("zone_doc", F.lit(1)), strict=True), ["zone_doc"])
-    rows = table(spark, d, "orders").where(F.year("o_orderdate").between(1996, 1999)).join(F.broadcast(zone))
-    offset = zones.offset_at_wall(F.col("transitions"), F.col("o_orderdate"))["offset_s"]
-    return rows.select("o_orderkey", (columns.epoch(F.col("o_orderdate")) - offset).alias("instant"))
+    """Definitions made from the host's zones, parsed again, place wall times as the host does."""
+    made = zones.definitions(_spans(spark, d)).select(F.col("tzid").alias("zone_doc"), "content")
+    tables = zones.transition_tables(wire.parse_documents(made, strict=True), ["zone_doc"])
+    rows = columns.step(_zoned_orders(spark, d).join(F.broadcast(tables.select("tzid", "transitions")), "tzid"), o=zones.offset_at_wall(F.col("transitions"), F.col("o_orderdate"))["offset_s"])
+    return rows.select("o_orderkey", "tzid", (columns.epoch(F.col("o_orderdate")) - F.col("o")).alias("instant"))
+
+
+@query(f"""
+    SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE {ZONES3} END AS added, CASE WHEN o_orderkey % 4 = 3 THEN 'VEVENT' ELSE 'VTIMEZONE' END AS first_component,
+           o_orderkey % 4 = 3 AS warned, CAST(0 AS BIGINT) AS still_missing, CASE WHEN o_orderkey % 4 <> 3 AND o_orderkey % 3 = 1 THEN 'TZID:Asia/Tokyo DTSTART:' || strftime(o_orderdate - INTERVAL 366 DAY + INTERVAL 9 HOUR, '%Y%m%dT%H%M%S') || ' TZOFFSETFROM:+0900 TZOFFSETTO:+0900 TZNAME:JST' END AS tokyo FROM orders""")
+def add_missing_zones(spark, d):
+    """Calendars that name zones without defining them get definitions before their first component."""
+    key = F.col("o_orderkey")
+    rows = _zoned_orders(spark, d)
+    start = F.concat(F.lit("DTSTART;TZID="), F.when(key % 4 == 3, "Nowhere/Else").otherwise(F.col("tzid")), F.lit(":"), columns.format_datetime(F.col("o_orderdate")))
+    docs = rows.select(key.alias("doc_id"), render.calendar(render.component("VEVENT", start)).alias("content"))
+    grown = zones.add_missing_timezones(wire.parse_documents(docs))
+    again = wire.parse_documents(emit.write_wire(grown), strict=True)
+    missing = F.size(F.filter("properties", lambda p: (p["name_uc"] == "DTSTART") & (F.size(p["params"]) > 0) & ~F.exists("properties", lambda q: (q["name_uc"] == "TZID") & (q["value"] == F.get(F.get(p["params"], 0)["values"], 0))) & ~p["params"].cast("string").contains("Nowhere")))
+    first = F.get(F.filter("components", lambda c: c["comp_id"] == 1), 0)["name"]
+    inside = F.filter("properties", lambda p: p["comp_id"].isin(1, 2))
+    tokyo = F.when(F.exists("properties", lambda p: (p["name_uc"] == "TZID") & (p["value"] == "Asia/Tokyo")), F.array_join(F.transform(inside, lambda p: F.concat(p["name"], F.lit(":"), p["value"])), " "))
+    return again.select("doc_id", F.array_join("added", " ").alias("added"), first.alias("first_component"), (F.size("zone_warnings") > 0).alias("warned"), missing.cast("bigint").alias("still_missing"), tokyo.alias("tokyo"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CAST(epoch(o_orderdate + INTERVAL 12 HOUR) - epoch(timezone('Europe/Zurich', o_orderdate + INTERVAL 10 HOUR)) AS BIGINT) AS seconds, CAST(epoch(timezone('Europe/Zurich', o_orderdate + INTERVAL 10 HOUR)) AS BIGINT) AS start_utc,
+    CAST(epoch(o_orderdate + INTERVAL 12 HOUR) AS BIGINT) AS end_utc FROM orders""")
+def duration_between_zones(spark, d):
+    """A start in a zone and an end in UTC: what elapses, not the difference of the clocks."""
+    at = lambda h: columns.format_datetime(columns.add_seconds(F.col("o_orderdate"), F.lit(h * 3600)))
+    event = render.component("VEVENT", F.concat(F.lit("DTSTART;TZID=Europe/Zurich:"), at(10)), F.concat(F.lit("DTEND:"), at(12), F.lit("Z")))
+    parsed = wire.parse_documents(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), render.calendar(event).alias("content")))
+    return views.events(parsed).select("doc_id", F.col("duration_seconds").alias("seconds"), columns.epoch(F.col("start_utc")).alias("start_utc"), columns.epoch(F.col("end_utc")).alias("end_utc"))
 
 
 # Writing.
@@ -536,12 +659,15 @@ def _supplier_cards(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), body.alias("content"))
 
 
-@query("SELECT o_orderkey AS doc_id, true AS same FROM orders WHERE o_orderkey % 5 = 0")
+WIRE = """SELECT o_orderkey AS doc_id, 'BEGIN:VCALENDAR' || e || 'VERSION:2.0' || e || 'PRODID:-//orders//EN' || e || 'BEGIN:VEVENT' || e || 'UID:' || o_orderkey || e || 'DTSTART:' || strftime(o_orderdate, '%Y%m%dT%H%M%S') || e
+    || 'SUMMARY:' || o_orderpriority || '\\, ' || o_orderstatus || e || {} || 'END:VEVENT' || e || 'END:VCALENDAR' || e AS content FROM (SELECT *, chr(13) || chr(10) AS e FROM orders)"""
+
+
+@query(WIRE.format("'RRULE:FREQ=WEEKLY;COUNT=3;BYDAY=MO,TU' || e || 'GEO:1.5;2' || e || 'EXDATE;VALUE=DATE:20200101,20200102' || e || 'DURATION:PT1H' || e"))
 def jcal_roundtrip(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 5 = 0")
-    first = jcal.write_jcal(wire.parse_documents(render.calendars_of_orders(orders, "RRULE:FREQ=WEEKLY;BYDAY=MO,TU;COUNT=3", "GEO:1.5;2", "EXDATE;VALUE=DATE:20200101,20200102", "DURATION:PT1H")))
-    again = jcal.write_jcal(jcal.read_jcal(first), "again")
-    return first.join(again, "doc_id").select("doc_id", (F.col("jcal") == F.col("again")).alias("same"))
+    """Wire text to JSON, read again and written as wire text: what SQL writes directly."""
+    first = jcal.write_jcal(wire.parse_documents(render.calendars_of_orders(table(spark, d, "orders"), "RRULE:FREQ=WEEKLY;BYDAY=MO,TU;COUNT=3", "GEO:1.5;2", "EXDATE;VALUE=DATE:20200101,20200102", "DURATION:PT1H")))
+    return emit.write_wire(jcal.read_jcal(first)).select("doc_id", "content")
 
 
 @query("""SELECT s_suppkey AS doc_id, '<?xml version="1.0" encoding="utf-8"?><vcards xmlns="urn:ietf:params:xml:ns:vcard-4.0"><vcard><version><text>4.0</text></version><fn><parameters><language><text>en</text></language></parameters><text>' || s_name || '</text></fn><n><surname>' || s_name || '</surname><given/><additional>a</additional><additional>b</additional><prefix/><suffix/></n><tel><parameters><type><text>work</text><text>voice</text></type></parameters><uri>tel:+' || s_nationkey || '</uri></tel><rev><timestamp>2020-01-02T03:04:05Z</timestamp></rev><x-acct><unknown>' || CAST(CAST(s_acctbal AS DECIMAL(12, 2)) AS VARCHAR) || '</unknown></x-acct></vcard></vcards>' AS xcal FROM supplier""")
@@ -549,12 +675,11 @@ def to_xcal(spark, d):
     return xcal.write_xcal(wire.parse_documents(_supplier_cards(spark, d)))
 
 
-@query("SELECT o_orderkey AS doc_id, true AS same FROM orders WHERE o_orderkey % 5 = 1")
+@query(WIRE.format("'RRULE:FREQ=MONTHLY;COUNT=3;BYMONTHDAY=1,-1' || e || 'GEO:1.5;2' || e || 'REQUEST-STATUS:2.0;Success' || e || 'FREEBUSY:20200101T000000Z/PT1H' || e"))
 def xcal_roundtrip(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 5 = 1")
-    first = xcal.write_xcal(wire.parse_documents(render.calendars_of_orders(orders, "RRULE:FREQ=MONTHLY;BYMONTHDAY=1,-1;COUNT=3", "GEO:1.5;2", "REQUEST-STATUS:2.0;Success", "FREEBUSY:20200101T000000Z/PT1H")))
-    again = xcal.write_xcal(xcal.read_xcal(first), "again")
-    return first.join(again, "doc_id").select("doc_id", (F.col("xcal") == F.col("again")).alias("same"))
+    """Wire text to XML, read again and written as wire text: what SQL writes directly."""
+    first = xcal.write_xcal(wire.parse_documents(render.calendars_of_orders(table(spark, d, "orders"), "RRULE:FREQ=MONTHLY;BYMONTHDAY=1,-1;COUNT=3", "GEO:1.5;2", "REQUEST-STATUS:2.0;Success", "FREEBUSY:20200101T000000Z/PT1H")))
+    return emit.write_wire(xcal.read_xcal(first)).select("doc_id", "content")
 
 
 # Editing.

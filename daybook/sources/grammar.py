@@ -59,6 +59,7 @@ HEAD = re.compile(r"[^;:]*")
 PARAM_NAME = re.compile(r'[^=;:"]*')
 BARE = re.compile(r"[^,;:]*")
 CARET = re.compile(r"\^([\^n'])")
+PLAIN = re.compile(r"(?:([A-Za-z0-9-]+)\.)?([A-Za-z0-9-]+)((?:;[A-Za-z0-9-]+=[^\x00-\x08\x0a-\x1f\x7f-\x9f\":;^]*)*):([^\x00-\x08\x0a-\x1f\x7f-\x9f]*)\Z")
 CONTROL = re.compile(r"[\x00-\x08\x0a-\x1f\x7f-\x9f]")
 
 
@@ -89,6 +90,8 @@ class Flat:
 
 def upper(name: str) -> str:
     """ASCII letters in upper case; others stay."""
+    if name.isascii():
+        return name.upper()
     return "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in name)
 
 
@@ -118,6 +121,8 @@ class Lines:
 
     def __init__(self, text: str, flat: Flat, strict: bool):
         self.out: list[list] = []
+        if self._regular(text):
+            return
         physical = [(m[1], m[2]) for m in PHYSICAL.finditer(text) if m[1] or m[2]]
         soft = False  # the last logical line ends in a soft break that the next line continues
         for k, (body, ending) in enumerate(physical):
@@ -139,6 +144,21 @@ class Lines:
                     self.out.append([body, number])
                     soft = not strict and self._soft(flat, number, more)
 
+    def _regular(self, text: str) -> bool:
+        """Takes a text apart in which every line ends in CRLF, none is blank and none may end in a soft break."""
+        n = text.count("\r\n")
+        if not n or not text.endswith("\r\n") or "=\r\n" in text or text.count("\n") != n or text.count("\r") != n:
+            return False
+        parts = text[:-2].split("\r\n")
+        if not all(parts) or parts[0][0] in " \t":
+            return False
+        begins = [k for k, p in enumerate(parts) if p[0] not in " \t"]
+        if len(begins) == len(parts):
+            self.out = [[p, k + 1] for k, p in enumerate(parts)]
+        else:
+            self.out = [[parts[a] + "".join([p[1:] for p in parts[a + 1 : b]]), a + 1] for a, b in zip(begins, [*begins[1:], len(parts)], strict=True)]
+        return True
+
     def _soft(self, flat: Flat, number: int, more: bool) -> bool:
         line = self.out[-1][0]
         if more and line.endswith("=") and quoted_printable(line):
@@ -297,7 +317,33 @@ def _dropped(flat: Flat, error: ParseError) -> None:
     flat.repair(error.line, "DroppedLine", error.kind, REPAIR_TEXT["DroppedLine"].format(error.text))
 
 
+def _plain_line(tree: Tree, text: str, number: int) -> bool:
+    """Takes a line that needs neither repair nor decoding; False leaves it to `_line`."""
+    m = PLAIN.match(text)
+    if not m:
+        return False
+    group, name, params, value = m.groups()
+    kind = name.upper()
+    if kind == "BEGIN":
+        if params or group or not STRICT_NAME.match(value) or len(tree.open) >= tree.max_depth:
+            return False
+        tree.begin(value)
+    elif kind == "END":
+        if params or group or not tree.open or tree.open[-1][1] != value.upper() or not STRICT_NAME.match(value):
+            return False
+        tree.open.pop()
+    elif not tree.open:
+        return False
+    else:
+        pairs = [p.partition("=") for p in params[1:].split(";")] if params else ()
+        number_, ordinal = tree.open[-1][0], tree._ordinal()
+        tree.flat.properties.append((number_, ordinal, number, group, name, kind, [(n, v.split(",")) for n, _, v in pairs], value))
+    return True
+
+
 def _line(tree: Tree, text: str, number: int, strict: bool) -> None:
+    if _plain_line(tree, text, number):
+        return
     reader = LineReader(text, number, tree.flat, strict)
     group, name, params, value = reader.read()
     kind = upper(name)

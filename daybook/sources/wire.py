@@ -7,9 +7,11 @@ column pruning on them stay in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.sources import grammar
@@ -28,47 +30,90 @@ _PROPERTIES = pa.list_(pa.struct([("comp_id", pa.int32()), ("ordinal", pa.int32(
 _REPAIRS = pa.list_(pa.struct([("seq", pa.int32()), ("line", pa.int32()), ("kind", pa.string()), ("detail", pa.string()), ("message", pa.string())]))
 _ERROR = pa.struct([("line", pa.int32()), ("kind", pa.string()), ("message", pa.string())])
 
-_C = [f.split(":")[0] for f in COMPONENT.split(",")]
-_P = ["comp_id", "ordinal", "line_no", "grp", "name", "name_uc", "params", "value"]
-_R = [f.split(":")[0] for f in REPAIR.split(",")]
+#: Bytes of documents that are taken apart before their rows go out, and that a batch for Python holds at most.
+PART_BYTES, BATCH_BYTES = 1 << 22, 1 << 24
 
 
-def _row(flat: grammar.Flat) -> tuple[list, list, list, dict | None]:
-    properties = [dict(zip(_P, (*p[:6], [{"name": n, "values": v} for n, v in p[6]], p[7]), strict=True)) for p in flat.properties]
-    error = dict(zip(("line", "kind", "message"), flat.error, strict=True)) if flat.error else None
-    return [dict(zip(_C, c, strict=True)) for c in flat.components], properties, [dict(zip(_R, r, strict=True)) for r in flat.repairs], error
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: 10,000 large documents at once would not fit a worker. Spark reads the bound when a plan
+    runs, so it stays in the session; it changes no result, and a tighter one is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def _lists(rows: list[list[tuple]], kind: pa.ListType) -> pa.Array:
+    """Rows of tuples as an array of lists of structs, column by column."""
+    fields = list(kind.value_type)
+    flat = list(zip(*chain.from_iterable(rows), strict=True)) or [()] * len(fields)
+    parts = [pa.array(column, f.type) for column, f in zip(flat, fields, strict=True)]
+    return pa.ListArray.from_arrays(_offsets([len(r) for r in rows]), pa.StructArray.from_arrays(parts, fields=fields))
+
+
+def _properties(rows: list[list[tuple]]) -> pa.Array:
+    fields = list(_PROPERTIES.value_type)
+    columns = list(zip(*chain.from_iterable(rows), strict=True)) or [()] * len(fields)
+    params = columns[6]
+    pairs = list(chain.from_iterable(params))
+    values = pa.ListArray.from_arrays(_offsets([len(v) for _, v in pairs]), pa.array(list(chain.from_iterable(v for _, v in pairs)), pa.string()))
+    held = pa.StructArray.from_arrays([pa.array([n for n, _ in pairs], pa.string()), values], fields=list(_PARAMS.value_type))
+    parts = [pa.ListArray.from_arrays(_offsets([len(p) for p in params]), held) if k == 6 else pa.array(c, f.type) for k, (c, f) in enumerate(zip(columns, fields, strict=True))]
+    return pa.ListArray.from_arrays(_offsets([len(r) for r in rows]), pa.StructArray.from_arrays(parts, fields=fields))
+
+
+def arrays_of(flats: list[grammar.Flat]) -> list[pa.Array]:
+    """The four columns of PARSED."""
+    errors = [None if f.error is None else dict(zip(("line", "kind", "message"), f.error, strict=True)) for f in flats]
+    return [_lists([f.components for f in flats], _COMPONENTS), _properties([f.properties for f in flats]), _lists([f.repairs for f in flats], _REPAIRS), pa.array(errors, _ERROR)]
 
 
 def parse_with(docs: DataFrame, read: Callable[[object], grammar.Flat], content: str) -> DataFrame:
     """docs with the columns of PARSED in place of `content`; `read` raises ValueError for what it can't take."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != content]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != content), PARSED])
 
+    def taken(body: object) -> grammar.Flat:
+        try:
+            return read(body) if body is not None else grammar.Flat()
+        except ValueError as error:
+            return grammar.Flat(error=(getattr(error, "line", None), getattr(error, "kind", type(error).__name__), str(error)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: tuple[list, list, list, list] = ([], [], [], [])
-            for body in batch.column(content).to_pylist():
-                try:
-                    flat = read(body) if body is not None else grammar.Flat()
-                except ValueError as error:
-                    flat = grammar.Flat(error=(getattr(error, "line", None), getattr(error, "kind", type(error).__name__), str(error)))
-                for column, x in zip(columns, _row(flat), strict=True):
-                    column.append(x)
-            parts = [pa.array(x, kind) for x, kind in zip(columns, (_COMPONENTS, _PROPERTIES, _REPAIRS, _ERROR), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *parts], [*kept, "components", "properties", "repairs", "error"])
-
-    return docs.select(*kept, content).mapInArrow(run, schema)
-
-
-def parse_documents(docs: DataFrame, content: str = "content", strict: bool = False, max_depth: int = grammar.MAX_DEPTH) -> DataFrame:
-    """Text or bytes in `content`. In strict mode a malformed document has no parts but an error."""
+            at, flats, size, bodies = 0, [], 0, batch.column(len(kept))
+            for k in range(batch.num_rows):
+                body = bodies[k].as_py()
+                flats.append(taken(body))
+                size += len(body or "")
+                if size >= PART_BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(flats)) for c in range(len(kept))), *arrays_of(flats)], [*kept, "components", "properties", "repairs", "error"])
+                    at, flats, size = k + 1, [], 0
+
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{content}`")).mapInArrow(run, schema)
+
+
+def parse_documents(docs: DataFrame, content: str = "content", strict: bool = False, max_depth: int = grammar.MAX_DEPTH, names: tuple[str, ...] | None = None) -> DataFrame:
+    """Text or bytes in `content`. In strict mode a malformed document has no parts but an error. names: properties that are
+    wanted, all if None; whole documents are checked either way, but only these leave the parser."""
     if not 0 < max_depth <= grammar.MAX_DEPTH:
         raise ValueError(f"max_depth must lie in 1..{grammar.MAX_DEPTH}")
 
+    wanted = None if names is None else {n.upper() for n in names}
+
     def read(body: object) -> grammar.Flat:
         if isinstance(body, str):
-            return grammar.parse_text(body.removeprefix("﻿"), strict, max_depth)
-        return grammar.parse_bytes(bytes(body), strict, max_depth)
+            flat = grammar.parse_text(body.removeprefix("﻿"), strict, max_depth)
+        else:
+            flat = grammar.parse_bytes(bytes(body), strict, max_depth)
+        if wanted is not None:
+            flat.properties = [p for p in flat.properties if p[5] in wanted]
+        return flat
 
     return parse_with(docs, read, content)
 
@@ -105,43 +150,3 @@ def one_root(parsed: DataFrame) -> DataFrame:
     """parsed, but a job fails where a document hasn't exactly one root."""
     roots = F.size(F.filter("components", lambda c: c["depth"] == 0))
     return parsed.where(F.assert_true(roots == 1, F.concat(F.lit("expected exactly one component, got "), roots.cast("string"))).isNull())
-
-
-# The whole way in SQL expressions, for documents without quotes in parameters, loose endings or other faults.
-
-FOLD = r"\r\n[ \t]"
-LINE = r"^(?:([A-Za-z0-9-]+)\.)?([A-Za-z0-9-]+)((?:;[A-Za-z0-9-]+=[^:;\"\p{Cc}]*)*):((?:[^\p{Cc}]|\t)*)$"
-
-
-def is_plain(text: Column) -> Column:
-    """The document can take the native way: CRLF only, no blank line, no fold at its start, every line in the grammar, no
-    quote before a line's colon, and as many ends as begins."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, FOLD, ""), r"\r\n\z", ""), "\r\n", -1)
-    return (~F.regexp_replace(text, "\r\n", "").rlike(r"[\r\n]")) & text.endswith("\r\n") & F.forall(lines, lambda x: x.rlike(LINE))
-
-
-def native_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, pos, line: logical lines by removing folds, which never touches other bytes."""
-    whole = F.regexp_replace(F.regexp_replace(F.col(text), FOLD, ""), r"\r\n\z", "")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(whole, "\r\n", -1)).alias("pos", "line"))
-
-
-def native_properties(docs: DataFrame, doc_id: str = "doc_id", text: str = "content") -> DataFrame:
-    """Properties of plain documents with the component that each is in, by one window over a document's lines.
-
-    doc_id, pos, comp_id (pos of its BEGIN), depth, grp, name, name_uc, params, value; BEGIN and END lines are left out.
-    """
-    from pyspark.sql.window import Window
-
-    lines = native_lines(docs, doc_id, text)
-    part = lambda k: F.regexp_extract("line", LINE, k)
-    grp = F.when(part(1) != "", part(1))
-    params = F.transform(F.filter(F.split(part(3), ";"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.split(F.regexp_replace(p, "^[^=]*=", ""), ",", -1).alias("values")))
-    read = lines.select("doc_id", "pos", grp.alias("grp"), part(2).alias("name"), F.upper(part(2)).alias("name_uc"), params.alias("params"), part(4).alias("value"))
-    by = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("name_uc") == "BEGIN", 1).when(F.col("name_uc") == "END", -1).otherwise(0)
-    placed = read.withColumn("depth", F.sum(step).over(by))
-    at_depth = Window.partitionBy("doc_id", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.last(F.when(F.col("name_uc") == "BEGIN", F.col("pos")), ignorenulls=True).over(at_depth)
-    kind = F.last(F.when(F.col("name_uc") == "BEGIN", F.upper("value")), ignorenulls=True).over(at_depth)
-    return placed.withColumn("comp_id", begun).withColumn("comp_name", kind).where(~F.col("name_uc").isin("BEGIN", "END"))

@@ -10,11 +10,11 @@ from daybook.functions import values
 from daybook.functions.text import fold_text
 from daybook.operators import emit, jcal, xcal
 from daybook.sources import grammar
-from daybook.sources.wire import _row
+from daybook.sources.wire import arrays_of
 
 
 def nodes(flat):
-    components, properties, _, _ = _row(flat)
+    components, properties, _, _ = (x.to_pylist()[0] for x in arrays_of([flat]))
     return emit.trees(components, properties)
 
 
@@ -103,6 +103,29 @@ def test_lenient_parsing_takes_anything_and_settles(text):
     assert emit.document_to_wire(nodes(again)) == written
 
 
+LINES = st.lists(st.sampled_from(["BEGIN:A", "END:A", "begin:b-1", "end:B-1", "END:", "BEGIN: A", "X:1", "g.X;P=a,b;Q=:v", 'X;P="q;r",s:v', "X;P=^n:v", "X_Y:1", "X;P:1", "NOTE;ENCODING=QUOTED-PRINTABLE:a=", " fold", "\tfold", "", "no colon", "T:a\tb\x07", "É:1", "X;P==:=", "K:" + "v" * 80]), max_size=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(LINES, st.sampled_from(["\r\n", "\n", "\r\n"]), st.booleans(), st.booleans())
+def test_the_short_way_reads_as_the_long_one(parts, ending, last, strict):
+    """Regular documents and plain lines take a short cut; without it every document reads the same."""
+    text = ending.join(parts) + ending * last
+
+    def read():
+        try:
+            flat = grammar.parse_text(text, strict)
+            return flat.components, [(*p[:6], [(n, list(v)) for n, v in p[6]], p[7]) for p in flat.properties], flat.repairs
+        except grammar.ParseError as error:
+            return str(error), error.kind
+
+    short = read()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(grammar, "_plain_line", lambda *_: False)
+        patch.setattr(grammar.Lines, "_regular", lambda *_: False)
+        assert read() == short
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_escapes_are_undone(text):

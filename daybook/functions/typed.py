@@ -16,6 +16,7 @@ uri, cal-address, utc-offset, unknown) and these fields, of which a kind fills i
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +39,19 @@ FIELDS = {
 TYPED = "struct<" + ",".join(["kind:string", *(f"{n}:{t}" for n, t in FIELDS.items())]) + ">"
 
 
+_NULLS: dict[tuple[int, str], Column] = {}
+
+
+def _null(name: str) -> Column:
+    """A null of a field's type, made once for a JVM: making columns is most of what typing costs on the driver."""
+    key = (id(SparkContext._gateway), name)
+    if key not in _NULLS:
+        _NULLS[key] = F.lit(None).cast(FIELDS[name]).alias(name)
+    return _NULLS[key]
+
+
 def _struct(kind: str, **given: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), *((given[n] if n in given else F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()))
+    return F.struct(F.lit(kind).alias("kind"), *(given[n].cast(t).alias(n) if n in given else _null(n) for n, t in FIELDS.items()))
 
 
 def _all(items: Column, read) -> Column:

@@ -107,10 +107,7 @@ def _steps(limit: int, max_years: int) -> Column:
 
 def _once(rule: Column) -> Column:
     """No part stands twice, and not both an end and a count."""
-    out = ~(rule.contains("UNTIL=") & rule.contains("COUNT="))
-    for name in PART_NAMES:
-        out = out & (F.regexp_count(rule, F.lit(rf"(\A|;){name}=")) <= 1)
-    return out
+    return ~rule.rlike(r"(?:\A|;)([A-Z]+)=[^;]*;(?:.*;)?\1=") & ~(rule.contains("UNTIL=") & rule.contains("COUNT="))
 
 
 def _prepared(series: DataFrame, rule: str, start: str) -> DataFrame:

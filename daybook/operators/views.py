@@ -55,6 +55,15 @@ def with_properties(parsed: DataFrame, kind: str | None = None, more=None, diale
     Properties and a mark for each component are sorted together, so a component's properties are a slice between two marks:
     the work grows with the document, not with the product of its components and properties."""
     rest = [c for c in parsed.columns if c not in PARTS]
+    return parsed.select(*(F.col(f"`{c}`") for c in rest), F.inline(_placed(kind, more, dialects)))
+
+
+def _dialect(root: Column) -> Column:
+    return dialect_of(root["name_uc"], first_of(root["props"], "VERSION")["value"])
+
+
+def _placed(kind: str | None, more=None, dialects: bool = False) -> Column:
+    """Components with their properties, as an array of structs."""
     names = ("comp_id", "ordinal", "grp", "name", "name_uc", "params", "value")
     own = F.transform("properties", lambda p: F.struct(*(p[n].alias(n) for n in names)))
     mark = F.transform("components", lambda c: F.struct(c["comp_id"].alias("comp_id"), F.lit(-1).alias("ordinal"), *(F.lit(None).cast(PARAMS if n == "params" else "string").alias(n) for n in names[2:])))
@@ -68,15 +77,12 @@ def with_properties(parsed: DataFrame, kind: str | None = None, more=None, diale
             slice_ = lambda j: F.slice(items, F.get(at, j) + 2, after(j) - F.get(at, j) - 1)
             held = F.transform(components, lambda c, j: F.struct(*(c[n].alias(n) for n in COMPONENT_NAMES), slice_(j).alias("props"), *((x.alias(n) for n, x in more(c).items()) if more else ())))
             if dialects:  # a component's number is its place
-                version = lambda r: first_of(r["props"], "VERSION")["value"]
-                spoken = lambda r: bind(r, lambda x: dialect_of(x["name_uc"], version(x)))
-                held = bind(held, lambda h: F.transform(h, lambda c: c.withField("dialect", spoken(F.get(h, c["root_id"])))))
+                held = bind(held, lambda h: F.transform(h, lambda c: c.withField("dialect", bind(F.get(h, c["root_id"]), _dialect))))
             return held if kind is None else F.filter(held, lambda c: c["name_uc"] == kind)
 
         return bind(marks, each)
 
-    placed = F.when(F.size("components") > 0, bind(F.sort_array(F.concat(mark, own)), cut))
-    return parsed.select(*(F.col(f"`{c}`") for c in rest), F.inline(placed))
+    return F.when(F.size("components") > 0, bind(F.sort_array(F.concat(mark, own)), cut))
 
 
 @lru_cache(1)
@@ -213,13 +219,20 @@ def values(parsed: DataFrame) -> DataFrame:
     """One row for each property: comp_id, ordinal, grp, name, name_uc, params, value, its dialect, type and multiplicity, the
     struct of its value (see `functions.typed`; null with `value_error` where the text isn't of its type), and the instants of
     its times where TZID names a zone of the host."""
-    held = with_properties(parsed, dialects=True)
     rest = [c for c in parsed.columns if c not in PARTS]
-    rows = held.select(*(F.col(f"`{c}`") for c in rest), "dialect", F.inline("props"))
+    names = ("comp_id", "ordinal", "grp", "name", "name_uc", "params", "value")
+    listed = lambda props, d: F.transform(props, lambda p: F.struct(d.alias("dialect"), *(p[n].alias(n) for n in names)))
+    # nearly all documents have one root, and so one dialect
+    root = F.struct(F.get("components", 0)["name_uc"].alias("name_uc"), F.filter("properties", lambda p: p["comp_id"] == 0).alias("props"))
+    one = bind(bind(root, _dialect), lambda d: listed(F.col("properties"), d))
+    several = F.flatten(F.transform(_placed(None, dialects=True), lambda c: listed(c["props"], c["dialect"])))
+    single = F.size(F.filter("components", lambda c: c["depth"] == 0)) <= 1
+    rows = parsed.select(*(F.col(f"`{c}`") for c in rest), F.inline(F.when(single, one).otherwise(several)))
     kind, many = type_of(F.col("name_uc"), F.col("dialect"), param(F.col("params"), "VALUE"))
-    typed_rows = rows.withColumn("vtype", kind).withColumn("multiplicity", many).withColumn("typed", typed.parse_value(F.col("value"), kind, many))
-    zone = host_zone(param(F.col("params"), "TZID"))
-    return typed_rows.withColumn("value_error", F.when(F.col("typed").isNull(), F.concat(F.lit("invalid "), "vtype", F.lit(" "), F.to_json(F.array("value"))))).withColumn("instants", typed.instants(F.col("typed"), zone))
+    named_types = step(rows, vtype=kind, multiplicity=many)
+    known = step(named_types, typed=typed.parse_value(F.col("value"), F.col("vtype"), F.col("multiplicity")), __zone=host_zone(param(F.col("params"), "TZID")))
+    error = F.when(F.col("typed").isNull(), F.concat(F.lit("invalid "), "vtype", F.lit(" "), F.to_json(F.array("value"))))
+    return known.withColumn("value_error", error).withColumn("instants", typed.instants(F.col("typed"), F.col("__zone"))).drop("__zone")
 
 
 def view_of(name_uc: Column) -> Column:

@@ -22,7 +22,7 @@ from daybook.functions import columns
 from daybook.functions.recurrence import parse_instant, parse_rule, plan
 from daybook.operators import views
 from daybook.operators.emit import Node, document_to_wire, flattened, trees
-from daybook.sources.wire import PARSED, arrays_of
+from daybook.sources.wire import PARSED, arrays_of, component_rows, property_rows
 
 TRANSITION = "struct<at:bigint,fold0:bigint,fold1:bigint,before_s:int,after_s:int,dst_s:int,name:string,shrink:int>"
 ONSETS_A_YEAR, LEAST_HORIZON = 60, 2050
@@ -391,8 +391,8 @@ def add_missing_timezones(parsed: DataFrame, padding_days: int = 366) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flats, added, warned = [], [], []
-            for c, p in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
-                roots = trees(c or [], p or [])
+            for c, p in zip(component_rows(batch.column(len(kept))), property_rows(batch.column(len(kept) + 1)), strict=True):
+                roots = trees(c, p)
                 a, w = grown(roots)
                 flats.append(flattened(roots))
                 added.append(a)

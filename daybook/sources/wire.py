@@ -72,6 +72,32 @@ def arrays_of(flats: list[grammar.Flat]) -> list[pa.Array]:
     return [_lists([f.components for f in flats], _COMPONENTS), _properties([f.properties for f in flats]), _lists([f.repairs for f in flats], _REPAIRS), pa.array(errors, _ERROR)]
 
 
+def _cut(lists: pa.ListArray, flat: list) -> list[list]:
+    """What an array's lists hold, of their items laid end to end."""
+    heads = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+    return [flat[a:b] for a, b in zip(heads[:-1], heads[1:], strict=True)]
+
+
+def _dicts(structs: pa.StructArray, given: dict[str, list]) -> list[dict]:
+    names = [f.name for f in structs.type]
+    return [dict(zip(names, row, strict=True)) for row in zip(*(given[n] if n in given else structs.field(k).to_pylist() for k, n in enumerate(names)), strict=True)]
+
+
+def component_rows(column: pa.ListArray) -> list[list[dict]]:
+    """Components of documents as dicts, column by column, which is several times as fast as row by row."""
+    return _cut(column, _dicts(column.flatten(), {}))
+
+
+def property_rows(column: pa.ListArray) -> list[list[dict]]:
+    """Properties of documents as dicts, their parameters too."""
+    flat = column.flatten()
+    params = flat.field("params")
+    pairs = params.flatten()
+    values = pairs.field("values")
+    held = _dicts(pairs, {"values": _cut(values, values.flatten().to_pylist())})
+    return _cut(column, _dicts(flat, {"params": _cut(params, held)}))
+
+
 def parse_with(docs: DataFrame, read: Callable[[object], grammar.Flat], content: str) -> DataFrame:
     """docs with the columns of PARSED in place of `content`; `read` raises ValueError for what it can't take."""
     bound_batches(docs.sparkSession)

@@ -7,6 +7,8 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daybook.functions import values
 from daybook.functions.recurrence import parse_rule
@@ -237,5 +239,7 @@ def _continued(flat: Flat) -> Tree:
 
 
 def read_jcal(docs: DataFrame, content: str = "jcal") -> DataFrame:
-    """JSON text in `content`, one document or a list of documents, as `parse_documents` gives them."""
+    """JSON in `content`, one document or a list of documents, as `parse_documents` gives them: text, or a VARIANT."""
+    if isinstance(docs.schema[content].dataType, T.VariantType):
+        docs = docs.withColumn(content, F.to_json(F.col(f"`{content}`")))
     return parse_with(docs, read_text, content)

@@ -6,8 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.functions import typed
-from daybook.operators import edit, emit, views, zones
+from daybook.functions import columns, typed
+from daybook.operators import edit, emit, jcal, views, xcal, zones
 from daybook.sources import wire
 
 EVENT = "BEGIN:VCALENDAR\r\n{zones}BEGIN:VEVENT\r\n{lines}END:VEVENT\r\nEND:VCALENDAR\r\n"
@@ -115,3 +115,34 @@ def test_edits(spark):
     assert "UID:b\\;c\r\n" in text and "DTSTART;X-P=1:20200101T150000Z\r\n" in text and "RRULE:FREQ=DAILY;COUNT=2\r\nSTATUS:CONFIRMED\r\n" in text
     todo = parsed(spark, "BEGIN:VTODO\r\nEND:VTODO\r\n")
     assert "DUE;VALUE=DATE:20200102\r\n" in emit.write_wire(edit.set_due(todo, F.lit("2020-01-02 00:00:00").cast("timestamp_ntz"), is_date=F.lit(True))).first().content
+
+
+def test_json_as_text_and_as_variant(spark):
+    text = '["vcalendar",[],[["vevent",[["uid",{},"text","a"],["priority",{},"integer",5],["geo",{},"float",[1.5,2]],["x-y",{},"boolean",true]],[]]]]'
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, jcal string")
+    from_text = jcal.read_jcal(docs)
+    from_variant = jcal.read_jcal(docs.select("doc_id", F.parse_json("jcal").alias("jcal")))
+    wire_of = lambda rows: {r.doc_id: r.content for r in emit.write_wire(rows).collect()}
+    assert wire_of(from_text) == wire_of(from_variant) == {1: "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:a\r\nPRIORITY:5\r\nGEO:1.5;2\r\nX-Y;VALUE=BOOLEAN:TRUE\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n", 2: ""}
+
+
+def test_what_can_not_be_written(spark):
+    prop = lambda name, value, params=(): {"grp": None, "name": name, "name_uc": name, "params": list(params), "value": value, "line_no": 0}
+    write = lambda *props: emit.document_to_wire([emit.Node("VEVENT", list(props))])
+    for bad in (prop("A:B", "x"), prop("A", "x\r\nEND:VEVENT"), prop("A", "x", [{"name": "P;Q", "values": ["v"]}]), prop("", "x")):
+        with pytest.raises(emit.WriteError):
+            write(bad)
+    with pytest.raises(ValueError):
+        xcal.document_to_xml([emit.Node("VEVENT", [prop("1 A", "x")])])
+    with pytest.raises(ValueError):
+        xcal.document_to_xml([emit.Node("VEVENT", [prop("A", "x\x07")])])
+    rows = parsed(spark, event("SUMMARY:" + "é" * 60))
+    short = emit.write_wire(rows, ending="\n", width=20).first().content
+    assert all(len(x.encode()) <= 20 for x in short.split("\n")) and "\r" not in short
+    assert emit.write_wire(rows, width=None).first().content == event("SUMMARY:" + "é" * 60)
+
+
+def test_times_of_day(spark):
+    rows = spark.createDataFrame([(x,) for x in ("101500", "235960Z", "240000", "1015", "000000z")], "t string")
+    got = {r.t: r.c and tuple(r.c) for r in rows.select("t", columns.parse_time(F.col("t")).alias("c")).collect()}
+    assert got == {"101500": (10, 15, 0, False), "235960Z": (23, 59, 60, True), "240000": None, "1015": None, "000000z": (0, 0, 0, True)}

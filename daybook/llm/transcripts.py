@@ -19,9 +19,7 @@ an empty one; other columns are left out, so that their names can't clash.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
 
 import numpy as np
 import pandas as pd

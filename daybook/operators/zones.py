@@ -7,6 +7,7 @@ a count over its array: no range join, no window over the events.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
@@ -225,31 +226,28 @@ def missing_zones(parsed: DataFrame, keys: list[str]) -> DataFrame:
 # and each year once a worker.
 
 
+def _state(zone: ZoneInfo, at: datetime) -> tuple[int, int, str]:
+    """What holds in a zone at an instant of UTC: its offset, how much of it is daylight saving, and the name."""
+    local = at.replace(tzinfo=timezone.utc).astimezone(zone)
+    return int(local.utcoffset().total_seconds()), int((local.dst() or timedelta(0)).total_seconds()), local.tzname() or ""
+
+
 @lru_cache(4096)
 def _changes_of_year(name: str, year: int) -> list[tuple[datetime, tuple, tuple]]:
-    """Changes of (offset, daylight saving, name) in a year of UTC, to the second: the instant, before, after."""
+    """Changes of state in a year of UTC, to the second: the instant, before, after. At most one falls on a day."""
     zone = ZoneInfo(name)
-    at, stop = datetime(year, 1, 1), datetime(year + 1, 1, 1) if year < 9999 else datetime(9999, 12, 31)
-    out, before = [], _probe(zone, at)
-    while at < stop:
-        upto = min(at + timedelta(days=1), stop)
-        after = _probe(zone, upto)
-        if after != before:
-            low, high = 0, int((upto - at).total_seconds())
-            while high - low > 1:
-                middle = (low + high) // 2
-                low, high = (middle, high) if _probe(zone, at + timedelta(seconds=middle)) == before else (low, middle)
-            moment = at + timedelta(seconds=high)
-            out.append((moment, before, _probe(zone, moment)))
-        at, before = upto, after
+    stop = datetime(year + 1, 1, 1) if year < 9999 else datetime(9999, 12, 31)
+    days = [datetime(year, 1, 1) + timedelta(days=k) for k in range((stop - datetime(year, 1, 1)).days + 1)]
+    states = [_state(zone, d) for d in days]
+    out = []
+    for day, before, after in zip(days, states, states[1:], strict=False):
+        if before != after:
+            changed = lambda s, day=day, before=before: _state(zone, day + timedelta(seconds=s)) != before
+            moment = day + timedelta(seconds=1 + bisect_left(range(1, 86_401), True, key=changed))
+            out.append((moment, before, _state(zone, moment)))
     return out
 
 
-def _probe(zone: ZoneInfo, at: datetime) -> tuple[int, int, str]:
-    local = at.replace(tzinfo=timezone.utc).astimezone(zone)
-    return int(local.utcoffset().total_seconds()), int((local.dst() or timedelta(0)).total_seconds()), local.tzname() or ""
-
-
 def host_changes(name: str, first: datetime, last: datetime) -> list[tuple[datetime, tuple, tuple]]:
     """A host zone's changes after an instant and up to another."""
     return [c for y in range(first.year, last.year + 1) for c in _changes_of_year(name, y) if first < c[0] <= last]
@@ -262,7 +260,7 @@ def onset_groups(name: str, first: datetime, last: datetime) -> list[tuple[int,
     for moment, before, after in host_changes(name, first, last):
         groups.setdefault((before[0], after[0], after[2], after[1] > 0), []).append(moment + timedelta(seconds=before[0]))
     if not groups:
-        offset, dst, label = _probe(ZoneInfo(name), first)
+        offset, dst, label = _state(ZoneInfo(name), first)
         groups[(offset, offset, label, dst > 0)] = [first + timedelta(seconds=offset)]
     return [(*key, found) for key, found in groups.items()]
 

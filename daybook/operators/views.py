@@ -48,21 +48,22 @@ def param(params: Column, name: str) -> Column:
     return F.when(F.size(values) == 1, F.get(values, 0))
 
 
-def with_properties(parsed: DataFrame, kind: str | None = None, more=None, dialects: bool = False) -> DataFrame:
+def with_properties(parsed: DataFrame, kind: str | None = None, more=None, dialects: bool = False, holder: str | None = None) -> DataFrame:
     """One row for each component (of a kind), with its properties in order as an array `props`: no shuffle, as both lie in
-    one row. more: columns from a component's struct, by a function; dialects: a column `dialect`, by the component's root.
+    one row. more: columns from a component's struct, by a function; dialects: a column `dialect`, by the component's root;
+    holder: of those that lie directly in one of that kind, its columns and `props`, their own properties as `__inner`.
 
     Properties and a mark for each component are sorted together, so a component's properties are a slice between two marks:
     the work grows with the document, not with the product of its components and properties."""
     rest = [c for c in parsed.columns if c not in PARTS]
-    return parsed.select(*(F.col(f"`{c}`") for c in rest), F.inline(_placed(kind, more, dialects)))
+    return parsed.select(*(F.col(f"`{c}`") for c in rest), F.inline(_placed(kind, more, dialects, holder)))
 
 
 def _dialect(root: Column) -> Column:
     return dialect_of(root["name_uc"], first_of(root["props"], "VERSION")["value"])
 
 
-def _placed(kind: str | None, more=None, dialects: bool = False) -> Column:
+def _placed(kind: str | None, more=None, dialects: bool = False, holder: str | None = None) -> Column:
     """Components with their properties, as an array of structs."""
     names = ("comp_id", "ordinal", "grp", "name", "name_uc", "params", "value")
     own = F.transform("properties", lambda p: F.struct(*(p[n].alias(n) for n in names)))
@@ -78,7 +79,11 @@ def _placed(kind: str | None, more=None, dialects: bool = False) -> Column:
             held = F.transform(components, lambda c, j: F.struct(*(c[n].alias(n) for n in COMPONENT_NAMES), slice_(j).alias("props"), *((x.alias(n) for n, x in more(c).items()) if more else ())))
             if dialects:  # a component's number is its place
                 held = bind(held, lambda h: F.transform(h, lambda c: c.withField("dialect", bind(F.get(h, c["root_id"]), _dialect))))
-            return held if kind is None else F.filter(held, lambda c: c["name_uc"] == kind)
+            of_kind = lambda h: h if kind is None else F.filter(h, lambda c: c["name_uc"] == kind)
+            if holder is None:
+                return of_kind(held)
+            pairs = bind(held, lambda h: F.transform(of_kind(h), lambda c: F.get(h, c["parent_id"]).withField("__inner", c["props"])))
+            return F.filter(pairs, lambda c: c["name_uc"] == holder)
 
         return bind(marks, each)
 
@@ -163,7 +168,10 @@ def events(parsed: DataFrame) -> DataFrame:
 
 
 def todos(parsed: DataFrame) -> DataFrame:
-    rows = _items(parsed, "VTODO")
+    return _todos(_items(parsed, "VTODO"))
+
+
+def _todos(rows: DataFrame) -> DataFrame:
     priority = F.trim(first_of(F.col("props"), "PRIORITY")["value"]).try_cast("bigint").alias("priority")
     return with_times(rows, "DUE").select(*_rest(rows), *_texts(), *TIMES, F.col("end").alias("due"), priority)
 
@@ -183,8 +191,19 @@ def freebusy(parsed: DataFrame) -> DataFrame:
 def alarms(parsed: DataFrame) -> DataFrame:
     """Alarms with the event or to-do that holds them: trigger_seconds relative to it, or trigger_at."""
     rows = _items(parsed, "VALARM")
-    trigger = F.trim(first_of(F.col("props"), "TRIGGER")["value"])
-    return rows.select(*_rest(rows), first_of(F.col("props"), "ACTION")["value"].alias("action"), columns.parse_duration(trigger).alias("trigger_seconds"), columns.parse_datetime(trigger)["wall"].alias("trigger_at"))
+    return rows.select(*_rest(rows), *_alarm(F.col("props")))
+
+
+def _alarm(props: Column) -> list[Column]:
+    trigger = F.trim(first_of(props, "TRIGGER")["value"])
+    return [first_of(props, "ACTION")["value"].alias("action"), columns.parse_duration(trigger).alias("trigger_seconds"), columns.parse_datetime(trigger)["wall"].alias("trigger_at")]
+
+
+def todos_with_alarms(parsed: DataFrame) -> DataFrame:
+    """One row for each alarm of a to-do, with the columns of both views (comp_id is the to-do's): no join, as both lie in one
+    row. A join's sizes would be guessed from the files that documents come from, and whole tables be broadcast."""
+    pairs = with_properties(parsed, "VALARM", holder="VTODO")
+    return _todos(pairs.select(*(c for c in pairs.columns if c != "__inner"), *_alarm(F.col("__inner"))))
 
 
 def timezones(parsed: DataFrame) -> DataFrame:

@@ -289,12 +289,11 @@ def card_fields(spark, d):
 
 @query("SELECT o_orderkey AS doc_id, 'DISPLAY' AS action, CAST(-900 AS BIGINT) AS trigger_seconds, CAST(o_orderkey % 7 AS BIGINT) AS priority, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') AS due FROM orders")
 def todos_and_alarms(spark, d):
-    alarm = render.component("VALARM", "ACTION:DISPLAY", "TRIGGER:-PT15M")
-    due = F.concat(F.lit("DUE:"), columns.format_datetime(columns.add_seconds(F.col("o_orderdate"), F.lit(3 * 86400))))
-    todo = F.concat(F.lit("BEGIN:VTODO\r\nDTSTART:"), columns.format_datetime(F.col("o_orderdate")), F.lit("\r\nPRIORITY:"), (F.col("o_orderkey") % 7).cast("string"), F.lit("\r\n"), due, F.lit("\r\n"), alarm, F.lit("END:VTODO\r\n"))
+    start, due = (columns.format_datetime(x) for x in (F.col("o_orderdate"), columns.add_seconds(F.col("o_orderdate"), F.lit(3 * 86400))))
+    alarm = ("BEGIN:VALARM", "ACTION:DISPLAY", "TRIGGER:-PT15M", "END:VALARM")
+    todo = render.component("VTODO", render.prop("DTSTART", start), render.prop("PRIORITY", (F.col("o_orderkey") % 7).cast("string")), render.prop("DUE", due), *alarm)
     parsed = wire.parse_documents(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), render.calendar(todo).alias("content")))
-    held = views.alarms(parsed).select("doc_id", F.col("parent_id").alias("comp_id"), "action", "trigger_seconds")
-    return views.todos(parsed).join(held, ["doc_id", "comp_id"]).select("doc_id", "action", "trigger_seconds", "priority", stamp(F.col("due"), 10).alias("due"))
+    return views.todos_with_alarms(parsed).select("doc_id", "action", "trigger_seconds", "priority", stamp(F.col("due"), 10).alias("due"))
 
 
 @query("SELECT o_custkey % 10 AS bucket, count(*) * 2 AS n_periods, CAST(sum(5400 + 1800) AS BIGINT) AS seconds FROM orders GROUP BY 1")

@@ -4,6 +4,7 @@ import importlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.plans import catalog
 from daybook.sources import wire
@@ -45,6 +46,18 @@ def test_query_in_a_session_with_daylight_saving(spark, sql, name):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_todos_beside_their_alarms_without_a_join(spark, tmp_path):
+    rows = [(1, "2020-02-28 10:00:00"), (1, "2021-01-01 00:00:00"), (9, "2020-12-30 23:59:59"), (-3, "2020-03-01 00:00:00"), (None, "2020-05-05 00:00:00"), (4, None)]
+    spark.createDataFrame(rows, "o_orderkey bigint, d string").select("o_orderkey", F.col("d").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    ours = catalog.QUERIES["todos_and_alarms"](spark, str(tmp_path))
+    # the optimizer takes a table to be no larger than its files, and so would send millions of to-dos to the driver
+    assert not any(n in ours._jdf.queryExecution().executedPlan().toString() for n in ("Join", "Broadcast"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    theirs = con.execute(catalog.ORACLE_SQL["todos_and_alarms"]).fetchall()
+    assert len(theirs) == len(rows) and sorted(map(repr, map(tuple, ours.collect()))) == sorted(map(repr, theirs))
+
+
 def test_entry_points(spark):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())

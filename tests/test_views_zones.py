@@ -57,6 +57,35 @@ def test_properties_of_a_large_calendar_in_linear_time(spark):
     assert took(20_000) < 25 * max(took(2_000), 0.4)
 
 
+def test_todos_with_alarms_are_the_join_of_both(spark):
+    alarm = lambda k, more="": f"BEGIN:VALARM\r\nACTION:A{k}\r\nTRIGGER:-PT{k}M\r\n{more}END:VALARM\r\n"
+    todo = lambda k, body: f"BEGIN:vtodo\r\nUID:u{k}\r\nDTSTART:20200101T000000\r\n{body}DUE:2020010{k}T000000\r\nPRIORITY:{k}\r\nEND:VTODO\r\n"
+    texts = [
+        "BEGIN:VCALENDAR\r\n" + todo(1, alarm(1) + alarm(2)) + todo(2, "") + "BEGIN:VEVENT\r\n" + alarm(3) + todo(3, alarm(4, alarm(5))) + "END:VEVENT\r\n" + alarm(6) + "END:VCALENDAR\r\n",
+        alarm(7) + todo(4, "BEGIN:X\r\n" + alarm(8) + "END:X\r\n" + alarm(9)),
+        "", None, "BEGIN:VCALENDAR\r\nEND:VCALENDAR\r\n",
+    ]
+    rows = parsed(spark, *texts)
+    names = ["doc_id", "comp_id", "uid", "priority", "due", "action", "trigger_seconds", "trigger_at"]
+    held = views.alarms(rows).select("doc_id", F.col("parent_id").alias("comp_id"), "action", "trigger_seconds", "trigger_at")
+    joined = views.todos(rows).join(held, ["doc_id", "comp_id"]).select(*names).collect()
+    ours = views.todos_with_alarms(rows).select(*names).collect()
+    assert sorted(map(repr, ours)) == sorted(map(repr, joined)) and [(r.uid, r.action) for r in sorted(ours)] == [("u1", "A1"), ("u1", "A2"), ("u3", "A4"), ("u4", "A9")]
+
+
+def test_todos_with_alarms_in_linear_time(spark):
+    def took(n):
+        body = "".join(f"BEGIN:VTODO\r\nUID:{k}\r\nBEGIN:VALARM\r\nACTION:{k}\r\nEND:VALARM\r\nEND:VTODO\r\n" for k in range(n))
+        rows = parsed(spark, f"BEGIN:VCALENDAR\r\n{body}END:VCALENDAR\r\n").cache()
+        rows.count()
+        began = time.perf_counter()
+        assert views.todos_with_alarms(rows).where("uid = action").count() == n
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(20_000) < 25 * max(took(2_000), 0.4)
+
+
 def test_views_of_roots(spark):
     text = "BEGIN:VCALENDAR\r\nBEGIN:VCALENDAR\r\nEND:VCALENDAR\r\nEND:VCALENDAR\r\nBEGIN:X\r\nBEGIN:VCARD\r\nFN:in\r\nEND:VCARD\r\nEND:X\r\nBEGIN:VCARD\r\nVERSION:3.0\r\nFN:a\r\nBDAY:20200101\r\nEND:VCARD\r\nBEGIN:VCARD\r\nVERSION:4.0\r\nFN:b\r\nBDAY:--0203\r\nEND:VCARD\r\n"
     rows = parsed(spark, text, None, "")
